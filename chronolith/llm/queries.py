@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, language_id, mil_classifier, mixing, packing, quality_rules
+from . import chat_format, language_id, mil_classifier, minhash, mixing, packing, quality_rules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,7 +43,15 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_chat_format, op3_mixing, op4_mil_classifier, op7_packing, op8_language_id)}
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_chat_format, op3_mixing, op4_mil_classifier, op7_packing, op8_language_id, op9_warc, op10_minhash)}
 
 ORACLES: dict[str, str] = {}
 
@@ -94,3 +102,22 @@ e AS (SELECT c.source, c.h, cum <= target - copies * source_size OR (cum - u <=
 SELECT doc_id, size, source_size, target, (size * (copies + more::INT))::BIGINT AS taken
 FROM h JOIN r ON h.source IS NOT DISTINCT FROM r.source JOIN e ON h.source IS NOT DISTINCT FROM e.source AND h.h = e.h
 """
+
+ORACLES["op10_minhash"] = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct([array_to_string(w[i:i+4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s FROM d),
+g AS (SELECT unnest(s) AS g, doc_id, len(s) AS n FROM s),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+e AS (SELECT u, v FROM p UNION ALL SELECT v, u FROM p),
+r AS (SELECT doc_id AS node, doc_id AS seen FROM s UNION SELECT r.node, e.v FROM r JOIN e ON r.seen = e.u),
+c AS (SELECT node, min(seen) AS component_id FROM r GROUP BY node)
+SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c ON s.doc_id = c.node
+"""
+
+ORACLES["op9_warc"] = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS b FROM pages),
+m AS (SELECT *, min(page_id) OVER (PARTITION BY b) AS first, sha1(b) AS hex FROM p),
+n AS (SELECT *, [strpos('0123456789abcdef', x) - 1 FOR x IN string_split(hex, '')] AS q FROM m),
+t AS (SELECT *, [substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((q[(5 * i) // 4 + 1] * 256 + coalesce(q[(5 * i) // 4 + 2], 0) * 16 + coalesce(q[(5 * i) // 4 + 3], 0)) // CASE i % 4 WHEN 0 THEN 128 WHEN 1 THEN 64 WHEN 2 THEN 32 ELSE 16 END) % 32 + 1, 1) FOR i IN range(0, 32)] AS z FROM n)
+SELECT page_id, strlen(b)::BIGINT AS payload_bytes, array_to_string(z, '') AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM t
+"""
