@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, language_id, mil_classifier, minhash, mixing, packing, quality_rules, warc
+from . import chat_format, language_id, mil_classifier, minhash, mixing, packing, quality_rules, suffix_dedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op4_mil_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mil_classifier.classify(docs, mil_classifier.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.spans(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_chat_format, op3_mixing, op4_mil_classifier, op7_packing, op8_language_id, op9_warc, op10_minhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_chat_format, op3_mixing, op4_mil_classifier, op6_suffix_dedup, op7_packing, op8_language_id, op9_warc, op10_minhash)}
 
 ORACLES: dict[str, str] = {}
 
