@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, language_id, mil_classifier, minhash, mixing, packing, quality_rules, suffix_dedup, warc
+from . import chat_format, language_id, mil_classifier, minhash, mixing, packing, pq_dedup, quality_rules, suffix_dedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op4_mil_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mil_classifier.classify(docs, mil_classifier.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_pq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq_dedup.duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.spans(table(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_chat_format, op3_mixing, op4_mil_classifier, op6_suffix_dedup, op7_packing, op8_language_id, op9_warc, op10_minhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_chat_format, op3_mixing, op4_mil_classifier, op5_pq_dedup, op6_suffix_dedup, op7_packing, op8_language_id, op9_warc, op10_minhash)}
 
 ORACLES: dict[str, str] = {}
 
@@ -125,3 +129,13 @@ n AS (SELECT *, [strpos('0123456789abcdef', x) - 1 FOR x IN string_split(hex, ''
 t AS (SELECT *, [substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((q[(5 * i) // 4 + 1] * 256 + coalesce(q[(5 * i) // 4 + 2], 0) * 16 + coalesce(q[(5 * i) // 4 + 3], 0)) // CASE i % 4 WHEN 0 THEN 128 WHEN 1 THEN 64 WHEN 2 THEN 32 ELSE 16 END) % 32 + 1, 1) FOR i IN range(0, 32)] AS z FROM n)
 SELECT page_id, strlen(b)::BIGINT AS payload_bytes, array_to_string(z, '') AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM t
 """
+
+ORACLES["op5_pq_dedup"] = r"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+n AS (SELECT vec_id, e, len(e) AS d, sqrt(list_dot_product(e, e)) AS norm FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+p AS (SELECT a.vec_id AS u, b.vec_id AS v FROM n a JOIN n b ON a.d = b.d AND a.vec_id <> b.vec_id AND a.norm > 0 AND b.norm > 0 WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.9),
+c AS (SELECT u, count(*) AS n_links FROM p GROUP BY u),
+r AS (SELECT vec_id AS node, vec_id AS seen FROM v UNION SELECT r.node, p.v FROM r JOIN p ON r.seen = p.u),
+m AS (SELECT node, min(seen) AS component_id FROM r GROUP BY node)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN m ON v.vec_id = m.node LEFT JOIN c ON v.vec_id = c.u
+"""
