@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import WORD, small_batches, text_key, written
 from .components import components
 
 WORDS, SLOT_BITS, BANDS, ROWS, PERCENT = 5, 22, 26, 5, 85
@@ -88,14 +88,14 @@ def signature(shingles: np.ndarray, n: int = BANDS * ROWS, bits: int = SLOT_BITS
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, n, f1, f2 (set size and two hashes of the set) and the names of the document's buckets."""
+    """doc_id, k1, k2 (the text's key), n, f1, f2 (set size and two hashes of the set) and the names of its buckets."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
             n, f1, f2, bands = [], [], [], []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
+            for text in batch.column(3).cast(pa.binary()).to_pylist():
                 s = hasher.shingles(text)
                 n.append(len(s))
                 f1.append(s.sum(dtype=np.uint64))
@@ -111,9 +111,10 @@ def features(docs: DataFrame) -> DataFrame:
             longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             offsets = pa.array(np.cumsum([0, *map(len, bands)]), pa.int32())
             values = pa.array(np.concatenate(bands)) if bands else pa.array([], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), longs(f1), longs(f2), pa.ListArray.from_arrays(offsets, values)], ["doc_id", "n", "f1", "f2", "bands"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), longs(f1), longs(f2), pa.ListArray.from_arrays(offsets, values)], ["doc_id", "k1", "k2", "n", "f1", "f2", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, bands array<long>")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(F.col("text")), "text")
+    return own.mapInArrow(run, "doc_id long, k1 long, k2 long, n long, f1 long, f2 long, bands array<long>")
 
 
 def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -190,72 +191,60 @@ def _as_node(side: str):
 
 
 def duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, and the set's hashes f1, f2, of every row of ``docs``."""
-    spark = docs.sparkSession
+    """doc_id, n_shingles, component_id, kept of every row of ``docs``; also its text's key and its component's node."""
     feats = written(features(docs), "minhash-features")
     d = F.coalesce(F.min("doc_id"), F.lit(_BIG)).alias("d")
     classes = feats.filter("n > 0").groupBy("n", "f1", "f2").agg(d, F.min("bands").alias("bands"))
     nodes = written(classes.select(F.struct("d", "f1", "f2").alias("node"), "n", "bands"), "minhash-nodes")
-    rows = nodes.select("node", "n", F.explode("bands").alias("band"))
-    kinds = F.array(*(F.struct(*([F.xxhash64(F.lit(s), "node")] if s else [F.lit(0).cast("long")]), F.col("node"), F.col("n")) for s in range(3)))
+
+    # Bucket rows name nodes by one hash, to stay narrow; should two nodes share it, both are verified.
+    rows = nodes.select(F.explode("bands").alias("band"), F.col("node.f1").alias("f1"), "n")
+    kinds = F.array(*(F.struct(F.xxhash64(F.lit(s), "f1").alias("rank"), F.col("f1").alias("lead"), F.col("n").alias("ln")) for s in range(3)))
     chosen = F.element_at(kinds, (F.pmod("band", F.lit(3)) + 1).cast("int"))
-    lead = rows.withColumn("l", chosen).groupBy("band").agg(F.min("l").alias("l"), F.count("*").alias("m")).filter("m > 1")
-    lead = lead.select("band", F.col("l.node").alias("lead"), F.col("l.n").alias("ln"))
+    lead = rows.select("band", chosen.alias("l")).groupBy("band").agg(F.min("l").alias("l"), F.count("*").alias("m")).filter("m > 1")
+    met = written(rows.join(lead.select("band", "l.lead", "l.ln", "m"), "band"), "minhash-met")
     close = 100 * F.least("n", "ln") >= percent * F.greatest("n", "ln")
-    pairs = rows.join(lead, "band").filter((F.col("node") != F.col("lead")) & close)
-    pairs = written(pairs.select(F.greatest("node", "lead").alias("u"), F.least("node", "lead").alias("v")).distinct(), "minhash-pairs")
-    ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    texts = written(_texts(docs, ends), "minhash-texts")
+    named = nodes.select("node", F.col("node.f1").alias("f1"))
+    pairs = met.filter((F.col("f1") != F.col("lead")) & close).select("f1", "lead").distinct()
+    pairs = pairs.join(named, "f1").withColumnRenamed("node", "a").drop("f1")
+    pairs = pairs.join(named.select(F.col("f1").alias("lead"), F.col("node").alias("b")), "lead")
+    pairs = written(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "minhash-pairs")
+    texts = written(_texts(docs, named.join(met.select("f1").distinct(), "f1", "left_semi")), "minhash-texts")
     links = written(_verified(pairs, texts, percent), "minhash-links")
     comps = written(components(links), "minhash-components")
 
     # Buckets of three or more nodes that aren't one component yet (of two nodes, the pair has been tested).
-    named = rows.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-    open_ = named.groupBy("band").agg(F.min("comp").alias("a"), F.max("comp").alias("z"), F.count("*").alias("m")).filter((F.col("m") > 2) & (F.col("a") != F.col("z")))
-    left = written(named.join(open_.select("band"), "band"), "minhash-open")
+    own = nodes.select("node", F.col("node.f1").alias("f1")).join(comps, "node", "left")
+    own = own.select("node", "f1", F.coalesce("component", "node").alias("comp"))
+    in_bucket = met.filter("m > 2").select("band", "f1").join(own, "f1").select("band", "node", "comp")
+    open_ = in_bucket.groupBy("band").agg(F.min("comp").alias("a"), F.max("comp").alias("z")).filter(F.col("a") != F.col("z"))
+    left = written(in_bucket.join(open_.select("band"), "band"), "minhash-open")
     if not left.isEmpty():
-        texts = _texts(docs, left.select("node").distinct())
         size = left.join(texts.select("node", F.octet_length("text").alias("bytes")), "node").groupBy("band").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("blocks"))
-        texts = written(texts, "minhash-texts")
         cut = left.join(size, "band").withColumn("own", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
         cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         cut = cut.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "comp")
-        full = cut.join(texts, "node").select("band", "i", "j", "node.d", "node.f1", "node.f2", F.col("comp.d").cast("string").alias("c1"), F.concat_ws(":", "comp.d", "comp.f1", "comp.f2").alias("comp"), "text").drop("c1")
+        full = cut.join(texts, "node").select("band", "i", "j", "node.d", "node.f1", "node.f2", F.concat_ws(":", "comp.d", "comp.f1", "comp.f2").alias("comp"), "text")
         more = full.groupBy("band", "i", "j").applyInPandas(_cross_links(percent), "u_d long, u_f1 long, u_f2 long, v_d long, v_f1 long, v_f2 long")
         more = written(more.select(_as_node("u").alias("u"), _as_node("v").alias("v")), "minhash-more")
         if not more.isEmpty():
             comps = written(components(links.select("u", "v").union(more)), "minhash-components")
 
-    by_class = nodes.join(comps, "node", "left").select("n", "node.f1", "node.f2", F.coalesce("component.d", "node.d").alias("c"))
-    out = feats.select("doc_id", "n", "f1", "f2").join(by_class, ["n", "f1", "f2"], "left")
-    comp = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.when(F.col("c") != _BIG, F.col("c")))
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), "f1", "f2")
+    by_class = nodes.join(comps, "node", "left").select("n", "node.f1", "node.f2", F.coalesce("component", "node").alias("component"))
+    out = feats.select("doc_id", "k1", "k2", "n", "f1", "f2").join(by_class, ["n", "f1", "f2"], "left")
+    comp = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.when(F.col("component.d") != _BIG, F.col("component.d")))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), "k1", "k2", "component")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def without_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the document with the smallest id, once; all empty ones."""
-    schema = docs.schema
-    at = [f.name for f in schema].index("text")
-    found = written(duplicates(docs, percent), "minhash-result")
-    keep = found.filter("kept and n_shingles > 0").select("doc_id", "f1", "f2").distinct()
-    row = F.struct(*(F.col(f"`{f.name}`") for f in schema)).alias("row")
-    candidates = docs.select(F.col("doc_id").cast("long").alias("key"), row)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
-        for batch in batches:
-            f1, f2 = [], []
-            for text in batch.column(1).field(at).cast(pa.binary()).to_pylist():
-                s = hasher.shingles(text)
-                f1.append(s.sum(dtype=np.uint64) if len(s) else np.uint64(0))
-                f2.append(_mix(s).sum(dtype=np.uint64) if len(s) else np.uint64(0))
-            longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns, longs(f1), longs(f2)], ["key", "row", "f1", "f2"])
-
-    hashed = candidates.mapInArrow(run, f"key long, row {schema.simpleString()}, f1 long, f2 long")
-    joined = hashed.join(keep.select(F.col("doc_id").alias("k"), F.col("f1").alias("g1"), F.col("f2").alias("g2")), F.col("key").eqNullSafe(F.col("k")) & (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")), "left")
-    joined = joined.filter(F.col("g1").isNotNull() | ((F.col("f1") == 0) & (F.col("f2") == 0)))
-    once = Window.partitionBy("key", "f1", "f2").orderBy(F.xxhash64("row"))
-    ranked = joined.withColumn("place", F.row_number().over(once))
-    return ranked.filter((F.col("place") == 1) | F.col("g1").isNull()).select("row.*")
+    """The rows of ``docs`` that stay: of each component one row with its smallest id; all rows without words."""
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_BIG))
+    found = duplicates(docs, percent).filter("kept and n_shingles > 0")
+    keep = found.groupBy("component").agg(F.min(F.struct(key.alias("key"), "k1", "k2")).alias("t")).select("t.*", F.lit(True).alias("stays"))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    words = F.coalesce(F.col("text").rlike(WORD), F.lit(False)).alias("words")
+    joined = docs.select(key.alias("key"), *text_key(F.col("text")), row, words).join(written(keep, "minhash-keep"), ["key", "k1", "k2"], "left")
+    once = Window.partitionBy("key", "k1", "k2").orderBy(F.xxhash64("row"))
+    ranked = joined.filter("stays or not words").withColumn("place", F.row_number().over(once))
+    return ranked.filter("place = 1 or not words").select("row.*")
