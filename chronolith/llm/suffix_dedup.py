@@ -237,7 +237,8 @@ def _ranges(docs: DataFrame) -> DataFrame:
     found = _keyed(docs).mapInArrow(_found_anchors, "k1 long, k2 long, g array<long>, start array<long>, n array<long>, off array<long>")
     found = written(found.filter(F.size("g") > 0), "suffix-anchors")
     each = found.select("k1", "k2", F.explode(F.arrays_zip("g", "start", "n", "off")).alias("f"))
-    twice = found.select(F.explode("g").alias("g")).groupBy("g").count().filter("count > 1").select("g")
+    # written, so that the join's sides are plain shuffles, of which Spark can split a frequent gram's part
+    twice = written(found.select(F.explode("g").alias("g")).groupBy("g").count().filter("count > 1").select("g"), "suffix-grams")
     some = each.withColumn("g", F.col("f.g")).join(twice, "g", "left_semi").groupBy("k1", "k2").agg(F.collect_set("f").alias("found"))
     body = _keyed(docs).join(some, ["k1", "k2"]).select("k1", "k2", "text", "found")
     ctx = written(body.mapInArrow(_contexts, "k1 long, k2 long, start long, c1 long, c2 long, g long, off long, ctx binary"), "suffix-contexts")
