@@ -6,7 +6,8 @@ the codes miss. As a query it visits its ``PROBES`` nearest lists. There asymmet
 (query residual against codewords); a vector goes on if its distance less its code error can be within the
 threshold, so the codes lose nothing, and is then compared by exact cosine in double precision.
 
-Equal vectors are one class. Lists are cut into blocks of bounded size, each block a task's group. A pair found
+Equal vectors are one class. A list's members and its visitors are cut into blocks of
+bounded size, and each pair of blocks is a group. A pair found
 from both sides counts on one side only. A block returns counts and a spanning forest of its links, not its
 pairs, so output stays in proportion to the vectors.
 
@@ -157,11 +158,16 @@ def _linked(nodes: DataFrame, dim: int, n: int, cosine: float, probes: int) -> D
     placed = written(mine.mapInArrow(assign, "d long, k1 long, k2 long, n long, v array<double>, probes array<int>"), "pq-placed")
     own = F.col("probes")[0]
     blocks = placed.groupBy(own.alias("list")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = placed.withColumn("list", own).join(blocks, "list").withColumn("block", F.pmod("k2", F.col("blocks")).cast("int"))
-    visits = placed.withColumn("list", F.explode("probes")).join(blocks, "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cols = ["list", "block", "d", "k1", "k2", "n", "v", "probes"]
+    visits = placed.withColumn("list", F.explode("probes"))
+    rounds = visits.groupBy("list").agg(F.ceil(F.count("*") / (2 * BLOCK)).cast("int").alias("rounds"))
+    cuts = blocks.join(rounds, "list")
+    members = placed.withColumn("list", own).join(cuts, "list").withColumn("block", F.pmod("k2", F.col("blocks")).cast("int"))
+    members = members.withColumn("round", F.explode(F.sequence(F.lit(0), F.col("rounds") - 1)))
+    visits = visits.join(cuts, "list").withColumn("round", F.pmod("k1", F.col("rounds")).cast("int"))
+    visits = visits.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cols = ["list", "block", "round", "d", "k1", "k2", "n", "v", "probes"]
     both = members.select(*cols, F.lit(True).alias("member")).union(visits.select(*cols, F.lit(False).alias("member")))
-    return both.groupBy("list", "block").applyInPandas(_search(index, cosine), "d long, k1 long, k2 long, links long, d2 long, e1 long, e2 long")
+    return both.groupBy("list", "block", "round").applyInPandas(_search(index, cosine), "d long, k1 long, k2 long, links long, d2 long, e1 long, e2 long")
 
 
 def duplicates(vectors: DataFrame, cosine: float = COSINE, probes: int = PROBES) -> DataFrame:
