@@ -202,7 +202,9 @@ def duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     kinds = F.array(*(F.struct(F.xxhash64(F.lit(s), "f1").alias("rank"), F.col("f1").alias("lead"), F.col("n").alias("ln")) for s in range(3)))
     chosen = F.element_at(kinds, (F.pmod("band", F.lit(3)) + 1).cast("int"))
     lead = rows.select("band", chosen.alias("l")).groupBy("band").agg(F.min("l").alias("l"), F.count("*").alias("m")).filter("m > 1")
-    met = written(rows.join(lead.select("band", "l.lead", "l.ln", "m"), "band"), "minhash-met")
+    # Aggregates are written before they are joined by their own key: only between plain shuffles can Spark split a hot key's part.
+    lead = written(lead.select("band", "l.lead", "l.ln", "m"), "minhash-leaders")
+    met = written(rows.join(lead, "band"), "minhash-met")
     close = 100 * F.least("n", "ln") >= percent * F.greatest("n", "ln")
     named = nodes.select("node", F.col("node.f1").alias("f1"))
     pairs = met.filter((F.col("f1") != F.col("lead")) & close).select("f1", "lead").distinct()
@@ -218,10 +220,11 @@ def duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     own = own.select("node", "f1", F.coalesce("component", "node").alias("comp"))
     in_bucket = met.filter("m > 2").select("band", "f1").join(own, "f1").select("band", "node", "comp")
     open_ = in_bucket.groupBy("band").agg(F.min("comp").alias("a"), F.max("comp").alias("z")).filter(F.col("a") != F.col("z"))
-    left = written(in_bucket.join(open_.select("band"), "band"), "minhash-open")
+    open_ = written(open_.select("band"), "minhash-open-buckets")
+    left = written(in_bucket.join(open_, "band"), "minhash-open")
     if not left.isEmpty():
         size = left.join(texts.select("node", F.octet_length("text").alias("bytes")), "node").groupBy("band").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("blocks"))
-        cut = left.join(size, "band").withColumn("own", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
+        cut = left.join(written(size, "minhash-blocks"), "band").withColumn("own", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
         cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         cut = cut.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "comp")
         full = cut.join(texts, "node").select("band", "i", "j", "node.d", "node.f1", "node.f2", F.concat_ws(":", "comp.d", "comp.f1", "comp.f2").alias("comp"), "text")
