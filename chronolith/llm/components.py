@@ -19,7 +19,6 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     if large:
         both = both.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("m", "u").alias("m"))
-    low = written(low, "least")  # a table, so that the join is between plain shuffles and Spark can split a hub's part
     moved = both.join(low, F.col("u") == F.col("w"))
     if large:
         moved = moved.filter(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
