@@ -3,7 +3,8 @@
 A document's set holds its distinct word shingles as 64-bit hashes. The universe has D slots. Permutation
 ``sigma`` places a shingle's slot; coordinate k of the signature is the least value of permutation ``pi``,
 shifted circularly by k, over those places: two permutations give all coordinates. Bands of ``ROWS``
-coordinates name buckets. With 26 bands of 5 a pair at similarity 0.85 shares no bucket once in 4 million.
+coordinates name buckets. With 26 bands of 5 a pair at similarity 0.85 shares no bucket once in 4 million, and
+one at 0.80 (the pipeline's limit) three times in 100,000.
 
 1. Documents with equal sets are one class; its node is (smallest doc_id, set hashes).
 2. In each bucket every node meets the bucket's leaders: one member by order, or by one of two hashes.

@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from chronolith.llm import minhash, mixing, packing, quality_rules, suffix_dedup
 from chronolith.llm.common import written
 
+#: Near copies in the corpus: word shingles with a Jaccard similarity of 0.80 or more (0.85 is op10's contract only).
+NEAR_PERCENT = 80
+
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the current quality policy keeps."""
@@ -19,7 +22,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return minhash.without_duplicates(docs)
+    return minhash.without_duplicates(docs, NEAR_PERCENT)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,3 +43,18 @@ def test_stages(spark):
     copies = collections.Counter(x.doc_id for x in seen["mixing"])
     assert set(copies) <= set(left) and max(copies.values()) <= 2
     assert {x.doc_id for x in seen["packing"]} == set(copies)
+
+
+def test_near_copies_from_80_percent(spark):
+    r = random.Random(21)
+    rows = []
+    for g in range(12):  # two changed words of 100 leave 86 of 106 shingles: 0.811
+        words = sentence(r, 100).split()
+        rows.append((10 * g, " ".join(words), "en", "a"))
+        for at in (20, 70):
+            words[at] = f"new{g}"
+        rows.append((10 * g + 1, " ".join(words), "en", "a"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    want = {w[1] for w in brute_groups(rows, 80)}
+    assert len(want) == 12 and len({w[1] for w in brute_groups(rows, 85)}) == 24
+    assert {x.doc_id for x in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == want
