@@ -16,6 +16,8 @@ Matches are of whole byte strings, so the result is exact up to equal 128-bit ha
 Defined cases: null texts are empty; texts under 400 bytes lose nothing; a repeated row is a copy like any
 other, so both lose what they share; an empty table gives an empty result; other columns are ignored by
 ``spans`` and kept by ``cleaned``. In ``cleaned`` a character that a cut splits goes with the removed bytes.
+
+``cleaned`` also removes repeated passages of over 50 words that have fewer bytes (``word_repeats``).
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import word_repeats
 from .common import small_batches, text_key, written
 from .suffix_groups import sort_suffixes
 
@@ -297,9 +300,13 @@ def spans(docs: DataFrame) -> DataFrame:
     return body.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def cleaned(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with what is left of their texts, and ``n_chars`` counted anew where it is a column."""
-    found = _ranges(docs)
+def cleaned(docs: DataFrame, words: int = word_repeats.WORDS) -> DataFrame:
+    """The rows of ``docs`` with what is left of their texts, and ``n_chars`` counted anew where it is a column.
+
+    Removed is what ``spans`` counts, and every passage of ``words`` words or more that occurs again.
+    """
+    found = _ranges(docs).unionByName(word_repeats.ranges(docs, words))
+    found = found.groupBy("k1", "k2").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
     names = docs.columns
     row = F.struct(*(F.col(f"`{c}`") for c in names)).alias("row")
     body = _keyed(docs, row).join(found, ["k1", "k2"], "left").select("row", "text", F.coalesce("ranges", F.array().cast("array<struct<a:bigint,b:bigint>>")).alias("ranges"))

@@ -1,0 +1,130 @@
+"""Byte ranges of passages of ``WORDS`` words or more that occur anywhere else in the corpus.
+
+1. Each window of ``WORDS`` words owns one anchor, the leftmost least hash of its grams of ``GRAM`` words; equal
+   windows have equal anchors. Only windows whose anchor's gram is an anchor at two places or more go on.
+2. These windows are counted by a 128-bit hash, and the ranges of repeated ones go back to their documents.
+
+Words are compared, whatever white space stands between them, so a short passage is found that has too few bytes
+for ``suffix_dedup``. No group is gathered: counts combine before the shuffle, and the join back is between
+written tables, so that Spark can split a frequent window's part.
+
+Defined cases: null texts are empty; texts under ``WORDS`` words have no ranges; a repeated row is a copy like any
+other; an empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import small_batches, text_key, written
+
+WORDS, GRAM = 51, 16
+_M = np.uint64(0x9E3779B97F4A7C15)
+_THREE = np.uint64(3)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * _M
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def _runs(h: np.ndarray, length: int) -> np.ndarray:
+    """A hash of every run of ``length`` values, put together from runs of powers of two."""
+    n, out, at, span = len(h) - length + 1, None, 0, 1
+    while True:
+        if length & span:
+            part = h[at : at + n]
+            out = part if out is None else _mix(out * _THREE + part)
+            at += span
+        if span * 2 > length:
+            return out
+        h = _mix(h[:-span] * _THREE + h[span:])
+        span *= 2
+
+
+class Words:
+    """Word hashes and places of a text; hashes are kept for reuse up to a bounded number."""
+
+    def __init__(self):
+        self.known: dict[bytes, int] = {}
+
+    def hashes(self, raw: bytes, least: int) -> np.ndarray:
+        words = raw.split()
+        if len(words) < least:
+            return np.zeros(0, np.uint64)
+        if len(self.known) > 500_000:
+            self.known.clear()
+        for w in set(words).difference(self.known):
+            self.known[w] = xxhash.xxh3_64_intdigest(w)
+        return _mix(np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words)))
+
+
+def places(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of each word, and the byte after its last one."""
+    b = np.frombuffer(raw, np.uint8)
+    word = np.concatenate([[False], ~((b == 32) | ((b >= 9) & (b <= 13))), [False]])
+    edges = np.flatnonzero(word[1:] != word[:-1])
+    return edges[::2], edges[1::2]
+
+
+def anchors(h: np.ndarray, words: int = WORDS, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """For each window its anchor's gram hash, and whether the anchor is another one than the window's before."""
+    view = np.lib.stride_tricks.sliding_window_view(_runs(h, gram), words - gram + 1)
+    off = view.argmin(1)
+    at = off + np.arange(len(off))
+    return view[np.arange(len(off)), off].view(np.int64), np.concatenate([[True], at[1:] != at[:-1]])
+
+
+def _lists(rows: list) -> pa.ListArray:
+    flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(flat, pa.int64()))
+
+
+def ranges(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """k1, k2, ranges: byte ranges (a, b) of every document that has repeated windows of ``words`` words."""
+    gram = min(GRAM, words)
+    small_batches(docs.sparkSession)
+    body = docs.select(*text_key(F.col("doc_id"), F.col("text")), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
+        for batch in batches:
+            rows = []
+            for raw in batch.column("text").cast(pa.binary()).to_pylist():
+                h = known.hashes(raw, words)
+                if len(h):
+                    g, new = anchors(h, words, gram)
+                    rows.append(g[new])
+                else:
+                    rows.append(np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), _lists(rows)], ["k1", "k2", "g"])
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
+        for batch in batches:
+            cols: list[list[np.ndarray]] = [[] for _ in range(4)]
+            for raw, some in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("some").to_pylist(), strict=True):
+                h = known.hashes(raw, words)
+                at = np.flatnonzero(np.isin(anchors(h, words, gram)[0], np.array(some, np.int64)))
+                first, end = places(raw)
+                for col, v in zip(cols, (_runs(h, words)[at].view(np.int64), _runs(_mix(h + _M), words)[at].view(np.int64), first[at], end[at + words - 1]), strict=True):
+                    col.append(v)
+            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), *map(_lists, cols)], ["k1", "k2", "w1", "w2", "a", "b"])
+
+    found = written(body.mapInArrow(grams, "k1 long, k2 long, g array<long>").filter(F.size("g") > 0), "words-anchors")
+    each = found.select("k1", "k2", F.explode("g").alias("g"))
+    twice = written(each.groupBy("g").count().filter("count > 1").select("g"), "words-grams")
+    some = each.join(twice, "g", "left_semi").groupBy("k1", "k2").agg(F.collect_set("g").alias("some"))
+    held = body.join(some, ["k1", "k2"]).select("k1", "k2", "text", "some")
+    held = written(held.mapInArrow(windows, "k1 long, k2 long, w1 array<long>, w2 array<long>, a array<long>, b array<long>"), "words-windows")
+    each = held.select("k1", "k2", F.explode(F.arrays_zip("w1", "w2", "a", "b")).alias("w")).select("k1", "k2", "w.*")
+    again = written(each.groupBy("w1", "w2").count().filter("count > 1").select("w1", "w2"), "words-repeated")
+    hits = each.join(again, ["w1", "w2"], "left_semi")
+    return hits.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
