@@ -31,7 +31,7 @@ def test_short_passages_equal_brute_force(spark):
     for i in range(90):
         p = shared[i % 6]
         blank = r.choice([" ", "\n", "  "])  # the same words, set otherwise
-        rows.append((10 + i, " ".join(some(r.randrange(30))) + " " + blank.join(p) + " é " + " ".join(some(r.randrange(30)))))
+        rows.append((10 + i, " ".join(some(r.randrange(30))) + " " + blank.join(p) + f" é{i} " + " ".join(some(r.randrange(30)))))
     rows += [rows[20], (None, rows[21][1])]
     docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars long")
     got = suffix_dedup.cleaned(docs).collect()
