@@ -6,7 +6,8 @@ shifted circularly by k, over those places: two permutations give all coordinate
 coordinates name buckets. With 26 bands of 5 a pair at similarity 0.85 shares no bucket once in 4 million, and
 one at 0.80 (the pipeline's limit) three times in 100,000.
 
-1. Documents with equal sets are one class; its node is (smallest doc_id, set hashes).
+1. Documents with equal sets are one class; its node is (smallest doc_id, set hashes). Its text is that of one
+   row, found by id and text key, so a frequent or null id costs no more than others.
 2. In each bucket every node meets the bucket's leaders: one member by order, or by one of two hashes.
    These pairs, a few a node, are verified on the full sets and the links joined to components.
 3. Buckets that still hold several components after that get an exact search of their members: every node
@@ -118,21 +119,15 @@ def features(docs: DataFrame) -> DataFrame:
     return own.mapInArrow(run, "doc_id long, k1 long, k2 long, n long, f1 long, f2 long, bands array<long>")
 
 
-def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, text of the nodes, from the documents with their smallest doc_ids."""
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_BIG)).alias("d"), "text")
-    found = own.join(nodes.select("node", F.col("node.d").alias("d")), "d").select("node", "text")
+def _own_rows(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, text of the rows that have a node's smallest doc_id and that very row's text."""
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_BIG)).alias("d"), *text_key(F.col("text")), "text")
+    return own.join(nodes.select("node", F.col("node.d").alias("d"), "k1", "k2"), ["d", "k1", "k2"]).select("node", "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # an id may have several texts
-        hasher = Hasher()
-        for batch in batches:
-            keep = []
-            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                s = hasher.shingles(text)
-                keep.append(int(s.sum(dtype=np.uint64).view(np.int64)) == node["f1"] and int(_mix(s).sum(dtype=np.uint64).view(np.int64)) == node["f2"])
-            yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return found.mapInArrow(run, found.schema).dropDuplicates(["node"])
+def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, text of the nodes (with k1, k2, the key of their smallest row's text)."""
+    return _own_rows(docs, nodes).dropDuplicates(["node"])
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -194,9 +189,9 @@ def _as_node(side: str):
 def duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs``; also its text's key and its component's node."""
     feats = written(features(docs), "minhash-features")
-    d = F.coalesce(F.min("doc_id"), F.lit(_BIG)).alias("d")
-    classes = feats.filter("n > 0").groupBy("n", "f1", "f2").agg(d, F.min("bands").alias("bands"))
-    nodes = written(classes.select(F.struct("d", "f1", "f2").alias("node"), "n", "bands"), "minhash-nodes")
+    least = F.min(F.struct(F.coalesce("doc_id", F.lit(_BIG)).alias("d"), "k1", "k2")).alias("least")
+    classes = feats.filter("n > 0").groupBy("n", "f1", "f2").agg(least, F.min("bands").alias("bands"))
+    nodes = written(classes.select(F.struct("least.d", "f1", "f2").alias("node"), "least.k1", "least.k2", "n", "bands"), "minhash-nodes")
 
     # Bucket rows name nodes by one hash, to stay narrow; should two nodes share it, both are verified.
     rows = nodes.select(F.explode("bands").alias("band"), F.col("node.f1").alias("f1"), "n")
@@ -212,7 +207,8 @@ def duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     pairs = pairs.join(named, "f1").withColumnRenamed("node", "a").drop("f1")
     pairs = pairs.join(named.select(F.col("f1").alias("lead"), F.col("node").alias("b")), "lead")
     pairs = written(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "minhash-pairs")
-    texts = written(_texts(docs, named.join(met.select("f1").distinct(), "f1", "left_semi")), "minhash-texts")
+    keyed = nodes.select("node", F.col("node.f1").alias("f1"), "k1", "k2")
+    texts = written(_texts(docs, keyed.join(met.select("f1").distinct(), "f1", "left_semi")), "minhash-texts")
     links = written(_verified(pairs, texts, percent), "minhash-links")
     comps = written(components(links), "minhash-components")
 
