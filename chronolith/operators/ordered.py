@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from chronolith.sources.storage import written
 
 
-def _ranged(df: DataFrame, order: str) -> DataFrame:
+def _ranged(df: DataFrame, *order: str) -> DataFrame:
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, order).withColumn("_range", F.spark_partition_id())
+    ranged = df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id())
     return written(ranged, "ordered")  # range borders come from sampling: freeze them
 
 
@@ -42,3 +42,17 @@ def running_max(df: DataFrame, order: str, value: Column, name: str, current: bo
     frame = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if current else -1)
     out = r.withColumn("_local", F.max("_value").over(frame)).join(F.broadcast(before), "_range")
     return out.withColumn(name, F.greatest("_local", "_before")).drop("_range", "_local", "_before", "_value")
+
+
+def running_max_in(df: DataFrame, by: str, order: str, value: Column, name: str, current: bool = True) -> DataFrame:
+    """``running_max`` in each group of ``by``. A large group is cut into ranges; one summary row a range and group carries on."""
+    r = _ranged(df.withColumn("_value", value), by, order)
+    sums = r.groupBy(by, "_range").agg(F.max("_value").alias("_total"))
+    lower = Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(F.col(by).alias("_by"), F.col("_range").alias("_r"), F.max("_total").over(lower).alias("_before"))
+    frame = Window.partitionBy("_range", by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if current else -1)
+    local = r.withColumn("_local", F.max("_value").over(frame))
+    # only groups that lie in several ranges have something to carry: at most one group a range
+    carried = F.broadcast(before.filter(F.col("_before").isNotNull()))
+    out = local.join(carried, local[by].eqNullSafe(F.col("_by")) & (F.col("_range") == F.col("_r")), "left")
+    return out.withColumn(name, F.greatest("_local", "_before")).drop("_range", "_local", "_before", "_value", "_by", "_r")

@@ -465,14 +465,11 @@ def fold_first_1000(spark, d):
 @query("""SELECT stream_name, max(k) AS best, count(*) FILTER (before IS NULL OR k > before) AS records FROM
   (SELECT stream_name, k, max(k) OVER (PARTITION BY stream_name ORDER BY global_position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT *, (data ->> 'k')::BIGINT AS k FROM m)) GROUP BY 1""")
 def fold_array(spark, d):
-    """How often each stream set a new best: a fold that needs the order."""
-    start = F.struct(F.lit(None).cast("long").alias("best"), F.lit(0).cast("long").alias("records"))
-
-    def step(s, m):
-        new = s["best"].isNull() | (m["k"] > s["best"])
-        return F.struct(F.when(new, m["k"]).otherwise(s["best"]).alias("best"), (s["records"] + new.cast("long")).alias("records"))
-
-    return fold.by_array(_bodies(spark, d), start, step, ["k"]).select("stream_name", "state.*")
+    """How often each stream set a new best: a fold that needs the order, over ranges that carry the best before them."""
+    k = F.col("k")
+    m = ordered.running_max_in(_bodies(spark, d), "stream_name", "global_position", k, "before", current=False)
+    new = F.col("before").isNull() | (k > F.col("before"))  # as in the SQL
+    return m.groupBy("stream_name").agg(F.max(k).alias("best"), F.count_if(new).alias("records"))
 
 
 @query("")
