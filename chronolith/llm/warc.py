@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -170,17 +171,18 @@ class Written(WriterCommitMessage):
 class WarcWriter(DataSourceWriter):
     """Rows (page_id, target_uri, payload, refers_to) -> an archive and its index for each task.
 
-    Names hold the task attempt, and files of attempts that weren't committed are removed at the end.
+    Names hold the write job's id and the task attempt. At the end files of this job's attempts that weren't
+    committed are removed; those of other jobs stay.
     """
 
     def __init__(self, path: str):
-        self.path = path
+        self.path, self.job = path, uuid.uuid4().hex
 
     def write(self, rows: Iterator) -> Written:
         files, root = _open(self.path)
         files.create_dir(root, recursive=True)
         task = TaskContext.get()
-        name = f"pages-{task.partitionId():06d}-{task.taskAttemptId()}"
+        name = f"pages-{self.job}-{task.partitionId():06d}-{task.taskAttemptId()}"
         index, at = [], 0
         with files.open_output_stream(f"{root}/{name}.warc.gz", compression=None) as out:
             for r in rows:
@@ -197,7 +199,7 @@ class WarcWriter(DataSourceWriter):
         files, root = _open(self.path)
         kept = {m.name for m in messages if m}
         for info in files.get_file_info(fs.FileSelector(root, allow_not_found=True)):
-            if info.base_name.split(".")[0] not in kept:
+            if info.base_name.startswith(f"pages-{self.job}-") and info.base_name.split(".")[0] not in kept:
                 files.delete_file(info.path)
 
     def abort(self, messages: list[Written | None]) -> None:
