@@ -3,8 +3,11 @@
 A conversation is cut into windows at turn borders. Prefix sums of turn tokens choose the cuts: turns whose
 first token lies in the same stride of the conversation share a window, and a turn longer than a stride has
 one to itself, so a window's new turns stay within two strides unless a single turn is longer. Each later
-window starts with the kept system turn and a limited history (the last turns of the window before it, up to
-a token budget). Repeated turns are context only: their text is outside the loss mask.
+window starts with all system turns before it and a limited history (the last turns of the window before it, up to
+a token budget, or its last turn alone where the window has room for it). System turns take their real length off
+the conversation's budget before the cuts are chosen; a stride keeps ``LEAST_STRIDE`` tokens, so windows grow over
+the budget only by a longer turn or by system turns that leave less. Repeated turns are context only: their text
+is outside the loss mask.
 
 Turns are written as ``<|turn|>role<|text|>text<|end|>``. Inside roles and texts every ``<|`` gets a backslash
 after ``<`` (and each ``<\\..|`` one more), which ``unescaped`` takes away again.
@@ -21,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
-BUDGET, SYSTEM_BUDGET, HISTORY_BUDGET = 2048, 256, 256
+BUDGET, SYSTEM_BUDGET, HISTORY_BUDGET, LEAST_STRIDE = 2048, 256, 256, 256
 
 
 def escaped(text: Column) -> Column:
@@ -39,11 +42,13 @@ def n_tokens(text: Column) -> Column:
 
 def windows(conv: DataFrame, budget: int = BUDGET, system_budget: int = SYSTEM_BUDGET, history: int = HISTORY_BUDGET) -> DataFrame:
     """conv_id, window, pos, repeated, role, text: every turn in each window that shows it."""
-    stride = (budget - system_budget - history) // 2
     turns = conv.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     by = Window.partitionBy("conv_id")
     order = by.orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     t = turns.withColumn("pos", (F.row_number().over(order) - 1).cast("long")).withColumn("tok", n_tokens(F.col("text")))
+    system = F.col("role") == "system"
+    t = t.withColumn("system", F.greatest(F.lit(system_budget).cast("long"), F.coalesce(F.sum(F.when(system, F.col("tok"))).over(by), F.lit(0))))
+    stride = F.greatest(F.lit(LEAST_STRIDE).cast("long"), F.floor((F.lit(budget) - F.col("system") - history) / 2))
     seq = by.orderBy("pos")
     upto = seq.rowsBetween(Window.unboundedPreceding, -1)
     t = t.withColumn("block", F.floor(F.coalesce(F.sum("tok").over(upto), F.lit(0)) / stride))
@@ -52,9 +57,12 @@ def windows(conv: DataFrame, budget: int = BUDGET, system_budget: int = SYSTEM_B
     t = t.withColumn("window", (F.sum("cut").over(seq.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("long"))
     tail = Window.partitionBy("conv_id", "window").orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, 0)
     t = t.withColumn("tail", F.sum("tok").over(tail)).withColumn("last", F.max("window").over(by))
-    keep = (F.col("pos") == 0) & (F.col("role") == "system") & (F.col("tok") <= system_budget)
-    later = F.when(keep & (F.col("last") > 0), F.sequence(F.lit(1), F.greatest(F.col("last"), F.lit(1)).cast("int")))
-    later = later.when((F.col("tail") <= history) & (F.col("window") < F.col("last")), F.array((F.col("window") + 1).cast("int")))
+    t = t.withColumn("fresh", F.sum("tok").over(Window.partitionBy("conv_id", "window")))
+    t = t.withColumn("room", F.when(F.lead("window").over(seq) != F.col("window"), budget - F.col("system") - F.lead("fresh").over(seq)))
+    following = (F.col("window") + 1).cast("int")
+    more = F.col("window") < F.col("last")
+    later = F.when(system & more, F.sequence(following, F.greatest(F.col("last").cast("int"), following)))
+    later = later.when(more & ((F.col("tail") <= history) | (F.col("tok") <= F.col("room"))), F.array(following))
     shown = F.concat(F.array(F.col("window").cast("int")), F.coalesce(later, F.array().cast("array<int>")))
     out = t.select("conv_id", F.col("window").alias("own"), "pos", "role", "text", F.explode(shown).alias("window"))
     return out.select("conv_id", F.col("window").cast("long").alias("window"), "pos", (F.col("window") != F.col("own")).alias("repeated"), "role", "text")
