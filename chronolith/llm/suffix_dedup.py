@@ -1,23 +1,24 @@
-"""Removal of every byte that lies in a 400-byte string which also starts anywhere else in the corpus.
+"""Removal of everything that lies in a string of a given length which also starts anywhere else in the corpus.
 
-1. Anchors. Every window of ``LENGTH`` bytes owns one anchor, the leftmost least gram hash inside it, so equal
-   windows have equal anchors at equal places. Consecutive windows with one anchor are one context: the bytes
+A text is a string of bytes (``BYTES``: 400 of them) or of words (``WORDS``: 51, whatever white space is between).
+
+1. Anchors. Every window of ``length`` symbols owns one anchor, the leftmost least gram hash inside it, so equal
+   windows have equal anchors at equal places. Consecutive windows with one anchor are one context: the symbols
    from the first window's start to the last one's end. Only anchors whose gram occurs twice or more go on.
 2. Contexts with the same gram meet in one group, equal ones as one row with a count. A group that has more
    than ``GROUP`` different contexts is split by the part that all windows of either half of it must contain,
-   as often as needed (after nine halvings a context is a single window), so no group outgrows a task.
-3. Within a group the contexts, cut to what each shares with its nearest neighbours, become strings of symbols:
-   a stretch on which all agree is one symbol, every other column another. ``sort_suffixes`` orders their
-   suffixes by linear grouping; neighbours in that order give for each start the longest match elsewhere.
+   as often as needed (in the end a context is a single window), so no group outgrows a task.
+3. The contexts of a task's groups, each that occurs more than once as two strings, are aligned by their anchors.
+   Linear grouping (``ordered_columns``) orders all suffixes of these strings; a window is repeated where its suffix
+   shares ``length`` symbols or more with a neighbour in that order.
 4. The covered ranges go back to the occurrences and from there to the documents.
 
-Matches are of whole byte strings, so the result is exact up to equal 128-bit hashes of different contexts.
-
-Defined cases: null texts are empty; texts under 400 bytes lose nothing; a repeated row is a copy like any
-other, so both lose what they share; an empty table gives an empty result; other columns are ignored by
-``spans`` and kept by ``cleaned``. In ``cleaned`` a character that a cut splits goes with the removed bytes.
+Windows that are equal have one anchor and so stand at the same columns of one group. The result is exact up to
+equal hashes: of 128 bits for contexts, of 64 bits for words.
 
-``cleaned`` also removes repeated passages of over 50 words that have fewer bytes (``word_repeats``).
+Defined cases: null texts are empty; shorter texts lose nothing; a repeated row is a copy like any other, so both
+lose what they share; an empty table gives an empty result; other columns are ignored by ``spans`` and kept by
+``cleaned``. In ``cleaned`` a character that a cut splits goes with the removed bytes.
 """
 
 from __future__ import annotations
@@ -25,34 +26,89 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from . import word_repeats
 from .common import small_batches, text_key, written
-from .suffix_groups import sort_suffixes
+from .suffix_groups import ordered_columns
+
+
+@dataclass(frozen=True)
+class Unit:
+    """The symbols of a text, the length of a repeat, the grams for anchors, and bytes a symbol."""
+
+    name: str
+    length: int
+    gram: int
+    width: int
+
 
-LENGTH, GRAM, GROUP = 400, 64, 1000
+BYTES, WORDS = Unit("bytes", 400, 64, 1), Unit("words", 51, 16, 8)
+#: Different contexts a group, contexts that are ordered together, hashes that a task remembers.
+GROUP, TOGETHER, KNOWN = 512, 4096, 100_000
 _TABLE = np.random.default_rng(64).integers(0, 1 << 63, 256, dtype=np.uint64)
 _LOW = np.uint64(0xFFFFFFFF)
 
 
-def anchors(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = x * np.uint64(0x9E3779B97F4A7C15)
+    return (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+class Symbols:
+    """Texts as strings of a unit; word hashes are kept for reuse up to a bounded number."""
+
+    def __init__(self, unit: Unit):
+        self.unit, self.known = unit, {}
+
+    def of(self, raw: bytes) -> bytes:
+        """The symbols of a text, ``unit.width`` bytes each."""
+        if self.unit.width == 1:
+            return raw
+        words = raw.split()
+        if len(self.known) > 5 * KNOWN:
+            self.known.clear()
+        for w in set(words).difference(self.known):
+            self.known[w] = xxhash.xxh3_64_intdigest(w)
+        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words)).tobytes()
+
+
+def places(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of each word, and the byte after its last one."""
+    b = np.frombuffer(raw, np.uint8)
+    word = np.concatenate([[False], ~((b == 32) | ((b >= 9) & (b <= 13))), [False]])
+    edges = np.flatnonzero(word[1:] != word[:-1])
+    return edges[::2], edges[1::2]
+
+
+def _grams(h: np.ndarray, length: int) -> np.ndarray:
+    """A hash of every run of ``length`` values, put together from runs of powers of two."""
+    n, out, at, span = len(h) - length + 1, None, 0, 1
+    while True:
+        if length & span:
+            part = h[at : at + n]
+            out = part if out is None else _mix(out * np.uint64(3) + part)
+            at += span
+        if span * 2 > length:
+            return out
+        h = _mix(h[:-span] * np.uint64(3) + h[span:])
+        span *= 2
+
+
+def anchors(symbols: bytes, unit: Unit = BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Per context: gram hash, first window's start, number of windows, anchor's place after that start."""
-    n = len(raw)
-    if n < length:
+    if len(symbols) < unit.length * unit.width:
         return (np.zeros(0, np.int64),) * 4
-    h, span = _TABLE[np.frombuffer(raw, np.uint8)], 1
-    while span < gram:
-        h = (h[:-span] * np.uint64(0x9E3779B97F4A7C15)) ^ h[span:]
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        span *= 2
+    h = _grams(_TABLE[np.frombuffer(symbols, np.uint8)] if unit.width == 1 else _mix(np.frombuffer(symbols, np.uint64)), unit.gram)
     low = (h & ~_LOW) | np.arange(len(h), dtype=np.uint64)
-    width, span = length - gram + 1, 1
+    width, span = unit.length - unit.gram + 1, 1
     while span * 2 <= width:
         low = np.minimum(low[:-span], low[span:])
         span *= 2
@@ -67,83 +123,34 @@ def _ident(*parts: bytes) -> tuple[int, int]:
     return struct.unpack("<qq", xxhash.xxh3_128_digest(b"\0".join(parts)))
 
 
-def _shared(a: bytes, b: bytes) -> int:
-    """Length of the common prefix."""
-    n = min(len(a), len(b))
-    x = int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")
-    return n - (x.bit_length() + 7) // 8
-
-
-def _reach(strings: list[bytes]) -> list[int]:
-    """For each string the longest prefix that it shares with another one."""
-    order = sorted(range(len(strings)), key=strings.__getitem__)
-    best = [0] * len(strings)
-    for i, j in zip(order, order[1:], strict=False):
-        n = _shared(strings[i], strings[j])
-        best[i], best[j] = max(best[i], n), max(best[j], n)
-    return best
-
-
-def _symbols(cut: list[tuple[bytes, int]]) -> list[list[tuple[int, int, int]]]:
-    """Per string (bytes, place of the anchor): (symbol, first column, columns). Equal symbols stand at equal columns."""
-    first = min(-off for _, off in cut)
-    width = max(len(c) - off for c, off in cut) - first
-    grid = np.full((len(cut), width), 256, np.int16)
-    edges = {0, width}
-    for r, (c, off) in enumerate(cut):
-        grid[r, -off - first : -off - first + len(c)] = np.frombuffer(c, np.uint8)
-        edges |= {-off - first, -off - first + len(c)}
-    top = grid.max(0, initial=-1, where=grid < 256)
-    mixed = np.flatnonzero(((grid != top) & (grid < 256)).any(0))
-    bounds = np.unique(np.concatenate([list(edges), mixed, mixed + 1]))
-    out = []
-    for r, (c, off) in enumerate(cut):
-        lo, hi = -off - first, -off - first + len(c)
-        own = bounds[(bounds >= lo) & (bounds <= hi)].tolist()
-        row, ups = grid[r], top
-        out.append([(a * 512 + (256 if b - a > 1 or row[a] == ups[a] else int(row[a])), a - lo, b - a) for a, b in zip(own, own[1:], strict=False)])
-    return out
-
-
-def repeated_ranges(contexts: list[tuple[bytes, int, int]], length: int = LENGTH) -> list[list[tuple[int, int]]]:
-    """For contexts (bytes, anchor's place, count) of one group: byte ranges covered by strings that occur twice or more."""
+def repeated_ranges(contexts: list[tuple[bytes, int, int]], unit: Unit = BYTES) -> list[list[tuple[int, int]]]:
+    """For contexts (symbols, anchor's place, count) of whole groups: ranges covered by strings that occur twice or more."""
+    row = np.repeat(np.arange(len(contexts)), [min(n, 2) for _, _, n in contexts])
     out: list[list[tuple[int, int]]] = [[] for _ in contexts]
-    right, left = _reach([c[o:] for c, o, _ in contexts]), _reach([c[:o][::-1] for c, o, _ in contexts])
-    cut: dict[tuple[bytes, int], list] = {}  # -> count, [(context, first byte)]
-    for i, (c, o, n) in enumerate(contexts):
-        a, b = (0, len(c)) if n > 1 else (o - left[i], o + right[i])
-        if b - a >= length:
-            held = cut.setdefault((c[a:b], o - a), [0, []])
-            held[0] += n
-            held[1].append((i, a))
-    if not cut:
+    if len(row) < 2:
         return out
-    parts = _symbols(list(cut))
-    text: list[int] = []
-    spot: list[tuple[int, int]] = []  # place in text -> string, symbol
-    for k, p in enumerate(parts):
-        text += [x[0] for x in p] + [-1 - k]  # a mark of its own ends each string
-        spot += [(k, j) for j in range(len(p) + 1)]
-    ranks = {v: i for i, v in enumerate(sorted(set(text)))}
-    order = sort_suffixes([ranks[v] for v in text])
-    match = [0] * len(text)
-    for i, j in zip(order, order[1:], strict=False):
-        m, a, b = 0, i, j
-        while text[a] == text[b]:
-            m += parts[spot[a][0]][spot[a][1]][2]
-            a, b = a + 1, b + 1
-        match[i], match[j] = max(match[i], m), max(match[j], m)
-    counts = list(cut.values())
-    for place, (k, j) in enumerate(spot):
-        if j == len(parts[k]):
-            continue
-        _, col, n = parts[k][j]
-        end = parts[k][-1][1] + parts[k][-1][2]
-        far = end - col if counts[k][0] > 1 else match[place]
-        if far >= length:
-            for i, a in counts[k][1]:
-                out[i].append((a + col, a + min(col + n - 1, col + far - length) + length))
-    return [merged(x) for x in out]
+    first = min(-o for _, o, _ in contexts)
+    low = np.array([-o - first for _, o, _ in contexts])
+    high = low + np.array([len(c) // unit.width for c, _, _ in contexts])
+    if unit.width == 1:
+        values = [np.frombuffer(c, np.uint8) for c, _, _ in contexts]
+        kind: type = np.uint8
+    else:  # words are numbered as they come
+        ids, names = pd.factorize(np.frombuffer(b"".join(c for c, _, _ in contexts), np.uint64))
+        values = np.split(ids, np.cumsum(high - low)[:-1])
+        kind = np.uint16 if len(names) < 1 << 16 else np.uint32
+    grid = np.zeros((len(row), int(high.max())), kind)
+    for k, i in enumerate(row.tolist()):
+        grid[k, low[i] : high[i]] = values[i]
+    hit = np.zeros(grid.shape, bool)
+    for column, order, same in ordered_columns(grid, low[row], high[row]):
+        far = np.flatnonzero(same >= unit.length)
+        hit[order[far], column] = hit[order[far - 1], column] = True
+    for k in np.flatnonzero(hit.any(1)).tolist():
+        i = int(row[k])
+        edges = np.flatnonzero(np.diff(hit[k].astype(np.int8), prepend=0, append=0)) - low[i]
+        out[i] = merged([(int(a), int(b) - 1 + unit.length) for a, b in zip(edges[::2], edges[1::2], strict=True)])
+    return out
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -166,41 +173,56 @@ def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
     return docs.select(*text_key(F.col("doc_id"), F.col("text")), *more, body.alias("text"))
 
 
-def _found_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [anchors(x) for x in batch.column("text").cast(pa.binary()).to_pylist()]
-        cols = [_lists([f[i] for f in found]) for i in range(4)]
-        yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), *cols], ["k1", "k2", "g", "start", "n", "off"])
+def _found_anchors(unit: Unit):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbols = Symbols(unit)
+        for batch in batches:
+            found = [anchors(symbols.of(x), unit) for x in batch.column("text").cast(pa.binary()).to_pylist()]
+            cols = [_lists([f[i] for f in found]) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), *cols], ["k1", "k2", "g", "start", "n", "off"])
+
+    return run
+
+
+def _contexts(unit: Unit):
+    """(k1, k2, text, found) -> a row per context that may be repeated. A task gives a context's symbols once, as long as it remembers it."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbols, seen = Symbols(unit), set()
+        w = unit.width
+        for batch in batches:
+            cols: list[list] = [[] for _ in range(8)]
+            for k1, k2, raw, found in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2")), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("found").to_pylist(), strict=True):
+                text = symbols.of(raw)
+                for f in found:
+                    ctx = text[w * f["start"] : w * (f["start"] + f["n"] + unit.length - 1)]
+                    c = _ident(struct.pack("<qq", f["g"], f["off"]), ctx)
+                    for col, v in zip(cols, (k1, k2, f["start"], *c, f["g"], f["off"], None if c in seen else ctx), strict=True):
+                        col.append(v)
+                    seen.add(c)
+                if len(seen) > KNOWN:
+                    seen.clear()
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:7]), pa.array(cols[7], pa.binary())], ["k1", "k2", "start", "c1", "c2", "g", "off", "ctx"])
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(k1, k2, text, found) -> a row per context that may be repeated."""
-    for batch in batches:
-        cols: list[list] = [[] for _ in range(8)]
-        for k1, k2, text, found in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2")), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("found").to_pylist(), strict=True):
-            for f in found:
-                ctx = text[f["start"] : f["start"] + f["n"] + LENGTH - 1]
-                c1, c2 = _ident(struct.pack("<qq", f["g"], f["off"]), ctx)
-                for col, v in zip(cols, (k1, k2, f["start"], c1, c2, f["g"], f["off"], ctx), strict=True):
-                    col.append(v)
-        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:7]), pa.array(cols[7], pa.binary())], ["k1", "k2", "start", "c1", "c2", "g", "off", "ctx"])
+    return run
 
 
-def _split(step: int):
-    """Contexts of large groups -> their windows by bins of ``step`` anchor places, grouped by the bytes a bin shares."""
+def _split(step: int, unit: Unit):
+    """Contexts of large groups -> their windows by bins of ``step`` anchor places, grouped by the symbols a bin shares."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["c1", "c2", "delta", "g", "off", "count", "d1", "d2", "ctx"]
+        length, w = unit.length, unit.width
         for batch in batches:
             rows = []
             for g, c1, c2, off, count, ctx in zip(*(batch.column(c).to_pylist() for c in ("g", "c1", "c2", "off", "count", "ctx")), strict=True):
-                low = off - (len(ctx) - LENGTH)  # the windows have the anchor low .. off bytes after their starts
+                low = off - (len(ctx) // w - length)  # the windows have the anchor low .. off symbols after their starts
                 for k in range(low // step, off // step + 1):
-                    least, most = k * step, min(k * step + step - 1, LENGTH - GRAM)
-                    core = ctx[off - least : off - most + LENGTH]
+                    least, most = k * step, min(k * step + step - 1, length - unit.gram)
+                    core = ctx[w * (off - least) : w * (off - most + length)]
                     group = _ident(struct.pack("<qqq", g, k, step), core)[0]
                     hi, lo = min(off, most), max(low, least)
-                    part = ctx[off - hi : off - lo + LENGTH]
+                    part = ctx[w * (off - hi) : w * (off - lo + length)]
                     rows.append((c1, c2, off - hi, group, hi, count, *_ident(struct.pack("<qq", group, hi), part), part))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:-1]), pa.array(cols[-1], pa.binary())], names)
@@ -208,83 +230,86 @@ def _split(step: int):
     return run
 
 
-def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts sorted by group -> their repeated ranges."""
-    held: list[tuple] = []
-    last = None
+def _solved(unit: Unit):
+    """Contexts sorted by group -> their repeated ranges. Whole groups are ordered together, up to about ``TOGETHER`` contexts."""
 
-    def solve() -> pa.RecordBatch | None:
-        if sum(h[3] for h in held) < 2:
-            return None
-        found = repeated_ranges([(h[4], h[2], h[3]) for h in held])
+    def solve(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        found = repeated_ranges([h[2:] for h in held], unit) if held else []
         hit = [(h, r) for h, r in zip(held, found, strict=True) if r]
-        if not hit:
-            return None
-        ids = [pa.array([h[i] for h, _ in hit], pa.int64()) for i in (0, 1)]
-        return pa.RecordBatch.from_arrays([*ids, _lists([np.array([a for a, _ in r]) for _, r in hit]), _lists([np.array([b for _, b in r]) for _, r in hit])], ["c1", "c2", "lo", "hi"])
-
-    for batch in batches:
-        for g, *row in zip(*(batch.column(c).to_pylist() for c in ("g", "c1", "c2", "off", "count", "ctx")), strict=True):
-            if g != last:
-                if held and (out := solve()):
-                    yield out
-                held, last = [], g
-            held.append(tuple(row))
-    if held and (out := solve()):
-        yield out
-
-
-def _ranges(docs: DataFrame) -> DataFrame:
-    """k1, k2, ranges: covered byte ranges (start, end) of every document that has some."""
+        if hit:
+            ids = [pa.array([h[i] for h, _ in hit], pa.int64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*ids, *(_lists([np.array([x[i] for x in r]) for _, r in hit]) for i in (0, 1))], ["c1", "c2", "lo", "hi"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        own: list[tuple] = []  # the group at hand: c1, c2, symbols, anchor's place, count
+        last = None
+        for batch in batches:
+            for g, *row in zip(*(batch.column(c).to_pylist() for c in ("g", "c1", "c2", "ctx", "off", "count")), strict=True):
+                if g != last:
+                    if len(own) > 1 or own and own[0][4] > 1:
+                        held += own
+                    own, last = [], g
+                    if len(held) >= TOGETHER:
+                        yield from solve(held)
+                        held = []
+                own.append(tuple(row))
+        yield from solve(held + (own if len(own) > 1 or own and own[0][4] > 1 else []))
+
+    return run
+
+
+def _ranges(docs: DataFrame, unit: Unit) -> DataFrame:
+    """k1, k2, ranges: covered ranges (a, b) of symbols of every document that has some."""
     small_batches(docs.sparkSession)
-    found = _keyed(docs).mapInArrow(_found_anchors, "k1 long, k2 long, g array<long>, start array<long>, n array<long>, off array<long>")
-    found = written(found.filter(F.size("g") > 0), "suffix-anchors")
+    label = lambda x: f"suffix-{unit.name}-{x}"
+    found = _keyed(docs).mapInArrow(_found_anchors(unit), "k1 long, k2 long, g array<long>, start array<long>, n array<long>, off array<long>")
+    found = written(found.filter(F.size("g") > 0), label("anchors"))
     each = found.select("k1", "k2", F.explode(F.arrays_zip("g", "start", "n", "off")).alias("f"))
     # written, so that the join's sides are plain shuffles, of which Spark can split a frequent gram's part
-    twice = written(found.select(F.explode("g").alias("g")).groupBy("g").count().filter("count > 1").select("g"), "suffix-grams")
+    twice = written(found.select(F.explode("g").alias("g")).groupBy("g").count().filter("count > 1").select("g"), label("grams"))
     some = each.withColumn("g", F.col("f.g")).join(twice, "g", "left_semi").groupBy("k1", "k2").agg(F.collect_set("f").alias("found"))
     body = _keyed(docs).join(some, ["k1", "k2"]).select("k1", "k2", "text", "found")
-    ctx = written(body.mapInArrow(_contexts, "k1 long, k2 long, start long, c1 long, c2 long, g long, off long, ctx binary"), "suffix-contexts")
+    ctx = written(body.mapInArrow(_contexts(unit), "k1 long, k2 long, start long, c1 long, c2 long, g long, off long, ctx binary"), label("contexts"))
 
-    places = ctx.select("k1", "k2", "start", "c1", "c2")
-    left = written(ctx.groupBy("g", "off", "c1", "c2").agg(F.count("*").alias("count"), F.first("ctx").alias("ctx")), "suffix-groups")
-    ready, now, step = None, places, 256
+    places_ = ctx.select("k1", "k2", "start", "c1", "c2")
+    left = written(ctx.groupBy("g", "off", "c1", "c2").agg(F.count("*").alias("count"), F.first("ctx", ignorenulls=True).alias("ctx")), label("groups"))
+    ready, now, step = None, places_, 1 << ((unit.length - unit.gram).bit_length() - 1)
     while True:
         large = left.groupBy("g").agg(F.count("*").alias("m")).filter(F.col("m") > GROUP).select("g")
-        large = written(large, "suffix-large")
+        large = written(large, label("large"))
         rest = left.join(large, "g", "left_anti")
         ready = rest if ready is None else ready.unionByName(rest)
         if not step or large.isEmpty():
             break
-        split = left.join(large, "g").mapInArrow(_split(step), "c1 long, c2 long, delta long, g long, off long, count long, d1 long, d2 long, ctx binary")
-        split = written(split, "suffix-split")
+        split = left.join(large, "g").mapInArrow(_split(step, unit), "c1 long, c2 long, delta long, g long, off long, count long, d1 long, d2 long, ctx binary")
+        split = written(split, label("split"))
         now = now.join(split.select("c1", "c2", "delta", "d1", "d2"), ["c1", "c2"])
-        now = written(now.select("k1", "k2", (F.col("start") + F.col("delta")).alias("start"), F.col("d1").alias("c1"), F.col("d2").alias("c2")), "suffix-places")
-        places = places.unionByName(now)
+        now = written(now.select("k1", "k2", (F.col("start") + F.col("delta")).alias("start"), F.col("d1").alias("c1"), F.col("d2").alias("c2")), label("places"))
+        places_ = places_.unionByName(now)
         left = split.groupBy("g", "off", F.col("d1").alias("c1"), F.col("d2").alias("c2")).agg(F.sum("count").alias("count"), F.first("ctx").alias("ctx"))
-        left = written(left.select("g", "off", "c1", "c2", "count", "ctx"), "suffix-groups")
+        left = written(left.select("g", "off", "c1", "c2", "count", "ctx"), label("groups"))
         step //= 2
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = ready.repartition(n, "g").sortWithinPartitions("g").select("g", "c1", "c2", "off", "count", "ctx")
-    solved = dealt.mapInArrow(_solved, "c1 long, c2 long, lo array<long>, hi array<long>")
-    solved = written(solved, "suffix-solved").select("c1", "c2", F.explode(F.arrays_zip("lo", "hi")).alias("r"))
-    spots = places.join(solved, ["c1", "c2"]).select("k1", "k2", F.struct((F.col("start") + F.col("r.lo")).alias("a"), (F.col("start") + F.col("r.hi")).alias("b")).alias("r"))
+    solved = dealt.mapInArrow(_solved(unit), "c1 long, c2 long, lo array<long>, hi array<long>")
+    solved = written(solved, label("solved")).select("c1", "c2", F.explode(F.arrays_zip("lo", "hi")).alias("r"))
+    spots = places_.join(solved, ["c1", "c2"]).select("k1", "k2", F.struct((F.col("start") + F.col("r.lo")).alias("a"), (F.col("start") + F.col("r.hi")).alias("b")).alias("r"))
     return spots.groupBy("k1", "k2").agg(F.collect_set("r").alias("ranges"))
 
 
-def _kept(text: bytes, ranges: list[dict] | None) -> tuple[bytes, int]:
+def _kept(text: bytes, runs: list[tuple[int, int]]) -> tuple[bytes, int]:
     """What is left of a text and the number of removed runs."""
-    runs = merged([(r["a"], r["b"]) for r in ranges or []])
-    out, at = [], 0
+    runs, out, at = merged(runs), [], 0
     for a, b in runs:
         out.append(text[at:a])
         at = b
     return b"".join([*out, text[at:]]), len(runs)
 
 
-def spans(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of ``docs``."""
-    found = _ranges(docs)
+def spans(docs: DataFrame, unit: Unit = BYTES) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of ``docs``, by bytes."""
+    found = _ranges(docs, unit)
     body = _keyed(docs, F.col("doc_id")).join(found, ["k1", "k2"], "left").select("doc_id", "text", "ranges")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -292,7 +317,7 @@ def spans(docs: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for text, ranges in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                kept, n = _kept(text, ranges)
+                kept, n = _kept(text, _in_bytes(text, ranges or [], unit))
                 rows.append((len(text), len(text) - len(kept), n, hashlib.sha256(kept).hexdigest()))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
@@ -300,24 +325,38 @@ def spans(docs: DataFrame) -> DataFrame:
     return body.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def cleaned(docs: DataFrame, words: int = word_repeats.WORDS) -> DataFrame:
+def _in_bytes(text: bytes, ranges: list[dict], unit: Unit) -> list[tuple[int, int]]:
+    if not ranges or unit.width == 1:
+        return [(r["a"], r["b"]) for r in ranges]
+    first, end = places(text)
+    return [(int(first[r["a"]]), int(end[r["b"] - 1])) for r in ranges]
+
+
+def cleaned(docs: DataFrame, units: tuple[Unit, ...] = (BYTES, WORDS)) -> DataFrame:
     """The rows of ``docs`` with what is left of their texts, and ``n_chars`` counted anew where it is a column.
 
-    Removed is what ``spans`` counts, and every passage of ``words`` words or more that occurs again.
+    Removed is what lies in a repeat of any of the units. A passage of 51 words may have fewer bytes than 400, or be
+    set with other white space; one of 400 bytes may have fewer words.
     """
-    found = _ranges(docs).unionByName(word_repeats.ranges(docs, words))
-    found = found.groupBy("k1", "k2").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    parts = [_ranges(docs, u).withColumn("part", F.lit(i)) for i, u in enumerate(units)]
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    found = found.groupBy("k1", "k2").agg(F.collect_list(F.struct("part", "ranges")).alias("parts"))
     names = docs.columns
-    row = F.struct(*(F.col(f"`{c}`") for c in names)).alias("row")
-    body = _keyed(docs, row).join(found, ["k1", "k2"], "left").select("row", "text", F.coalesce("ranges", F.array().cast("array<struct<a:bigint,b:bigint>>")).alias("ranges"))
+    row = F.struct(*(F.col(f"`{c}`").alias(c) for c in names)).alias("row")
+    none = F.array().cast("array<struct<part:int,ranges:array<struct<a:bigint,b:bigint>>>>")
+    body = _keyed(docs, row).join(found, ["k1", "k2"], "left").select("row", "text", F.coalesce("parts", none).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            left = [_kept(t, r)[0].decode("utf-8", "ignore") if r else None for t, r in zip(texts, batch.column(2).to_pylist(), strict=True)]
+            left = []
+            for text, parts in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                runs = [x for p in parts for x in _in_bytes(text, p["ranges"], units[p["part"]])]
+                left.append(_kept(text, runs)[0].decode("utf-8", "ignore") if runs else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(left, pa.string())], ["row", "left"])
 
-    out = body.mapInArrow(run, f"row {docs.schema.simpleString()}, left string")
+    out = body.mapInArrow(run, T.StructType([T.StructField("row", docs.schema), T.StructField("left", T.StringType())]))
     text = F.coalesce("left", "row.text")
     new: Callable[[str], Column] = lambda c: text if c == "text" else F.char_length(text).cast(docs.schema[c].dataType) if c == "n_chars" else F.col(f"row.`{c}`")
     return out.select(*(new(c).alias(c) for c in names))
