@@ -10,13 +10,14 @@ one by one; an empty table gives an empty ledger; other columns of the input are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import small_batches
 
@@ -31,18 +32,22 @@ _UPPER = np.zeros(256, bool)
 _UPPER[list(range(ord("A"), ord("Z") + 1))] = True
 
 
+#: Rule name -> whether measurements fail it; they may be columns or numbers. A rule's bit is its place here.
+RULES: dict[str, Callable[[dict], Column | bool]] = {
+    "few_words": lambda m: m["n_words"] < 20,
+    "repeated_windows": lambda m: 100 * m["n_repeat_words"] > 30 * m["n_words"],
+    "symbols": lambda m: 10 * m["n_symbols"] > m["n_words"],
+    "duplicate_lines": lambda m: 10 * m["n_dup_lines"] > 6 * m["n_lines"],
+    "short_words": lambda m: m["word_chars"] < 2 * m["n_words"],
+    "long_words": lambda m: m["word_chars"] > 25 * m["n_words"],
+    "capitals": lambda m: 10 * m["n_upper"] > 6 * m["word_chars"],
+}
+
+
 def rules() -> dict[str, Column]:
-    """Rule name -> column that is true where a document fails it. A rule's bit is its place here."""
-    c = F.col
-    return {
-        "few_words": c("n_words") < 20,
-        "repeated_windows": 100 * c("n_repeat_words") > 30 * c("n_words"),
-        "symbols": 10 * c("n_symbols") > c("n_words"),
-        "duplicate_lines": 10 * c("n_dup_lines") > 6 * c("n_lines"),
-        "short_words": c("word_chars") < 2 * c("n_words"),
-        "long_words": c("word_chars") > 25 * c("n_words"),
-        "capitals": 10 * c("n_upper") > 6 * c("word_chars"),
-    }
+    """Rule name -> column that is true where a document fails it."""
+    columns = {m: F.col(m) for m in MEASURES}
+    return {name: failed(columns) for name, failed in RULES.items()}
 
 
 #: Versioned policies: the rules whose failure rejects a document.
@@ -55,7 +60,7 @@ CURRENT = "web_v2"
 
 
 def mask(policy: str) -> int:
-    names = list(rules())
+    names = list(RULES)
     return sum(1 << names.index(r) for r in POLICIES[policy])
 
 
@@ -95,19 +100,23 @@ def measure(raw: bytes) -> tuple[int, ...]:
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches' last column, a text, gives way to its measurements."""
     for batch in batches:
-        rows = [measure(x or b"") for x in batch.column(1).cast(pa.binary()).to_pylist()]
+        rows = [measure(x or b"") for x in batch.columns[-1].cast(pa.binary()).to_pylist()]
         cols = np.array(rows, np.int64).reshape(-1, len(MEASURES)).T
-        yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, cols)], ["doc_id", *MEASURES])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *map(pa.array, cols)], [*batch.schema.names[:-1], *MEASURES])
+
 
+def ledger(docs: DataFrame, whole_rows: bool = False) -> DataFrame:
+    """doc_id, every measurement, and ``fail_bits`` with bit i set where rule i fails.
 
-def ledger(docs: DataFrame) -> DataFrame:
-    """doc_id, every measurement, and ``fail_bits`` with bit i set where rule i fails."""
+    ``whole_rows`` also carries each document's columns along, as the struct ``row``.
+    """
     small_batches(docs.sparkSession)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", "text").mapInArrow(_measured, f"doc_id {kind}, " + ", ".join(f"{m} long" for m in MEASURES))
+    kept = docs.select("doc_id", *([F.struct(*(F.col(f"`{c}`").alias(c) for c in docs.columns)).alias("row")] if whole_rows else []), "text")
+    schema = T.StructType([*kept.schema.fields[:-1], *(T.StructField(m, T.LongType()) for m in MEASURES)])
     bits = (F.when(failed, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, failed in enumerate(rules().values()))
-    return out.withColumn("fail_bits", reduce(Column.bitwiseOR, bits))
+    return kept.mapInArrow(_measured, schema).withColumn("fail_bits", reduce(Column.bitwiseOR, bits))
 
 
 def apply_policy(led: DataFrame, policy: str = CURRENT) -> DataFrame:
@@ -122,7 +131,7 @@ def ablate(led: DataFrame, policy: str = CURRENT) -> DataFrame:
     One aggregation by the distinct failure masks (at most 2^rules of them) answers every ablation.
     """
     by_mask = led.groupBy(F.col("fail_bits").bitwiseAND(F.lit(mask(policy))).alias("bits")).agg(F.count("*").alias("n"))
-    names = list(rules())
+    names = list(RULES)
     each = F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(1 << names.index(r)).cast("long").alias("bit")) for r in POLICIES[policy]))
     return (
         by_mask.select("bits", "n", F.explode(each).alias("r"))
@@ -135,24 +144,14 @@ def ablate(led: DataFrame, policy: str = CURRENT) -> DataFrame:
 
 
 def accepted(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
-    """The rows of ``docs`` whose text the policy keeps, with all their columns.
+    """The rows of ``docs`` that the policy's verdict on the ledger keeps, with all their columns.
 
-    The measurements ride along in one pass, so no join by id is needed and ids may repeat.
+    The rows ride along with their measurements, so no join by id is needed and ids may repeat.
     """
-    small_batches(docs.sparkSession)
-    fields = [f"{f.name}" for f in docs.schema.fields]
-    at, schema, bits = fields.index("text"), docs.schema, mask(policy)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [not verdict_bits(measure(x or b"")) & bits for x in batch.column(at).cast(pa.binary()).to_pylist()]
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, schema)
+    return apply_policy(ledger(docs, whole_rows=True), policy).filter("kept").select("row.*")
 
 
 def verdict_bits(m: tuple[int, ...]) -> int:
-    """The ledger's failure bits of one measurement, in the order of ``rules()``."""
-    words, chars, symbols, lines, dup, rep, upper = m
-    failed = (words < 20, 100 * rep > 30 * words, 10 * symbols > words, 10 * dup > 6 * lines, chars < 2 * words, chars > 25 * words, 10 * upper > 6 * chars)
-    return sum(1 << i for i, f in enumerate(failed) if f)
+    """The ledger's failure bits of one document's measurements."""
+    measured = dict(zip(MEASURES, m, strict=True))
+    return sum(1 << i for i, failed in enumerate(RULES.values()) if failed(measured))
