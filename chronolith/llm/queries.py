@@ -83,12 +83,15 @@ ORACLES["op2_chat_format"] = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
 t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos, (strlen(text) + 3) // 4 + 4 AS tok FROM c),
-b AS (SELECT *, coalesce(sum(tok) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT // 768 AS block FROM t),
-k AS (SELECT *, (pos = 0 OR block <> lag(block) OVER o OR tok > 768 OR lag(tok) OVER o > 768)::INT AS cut FROM b WINDOW o AS (PARTITION BY conv_id ORDER BY pos)),
+y AS (SELECT *, greatest(256, coalesce(sum(tok) FILTER (role = 'system') OVER (PARTITION BY conv_id), 0))::BIGINT AS sys FROM t),
+z AS (SELECT *, greatest(256, floor((2048 - sys - 256) / 2))::BIGINT AS stride FROM y),
+b AS (SELECT *, coalesce(sum(tok) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT // stride AS block FROM z),
+k AS (SELECT *, (pos = 0 OR block <> lag(block) OVER o OR tok > stride OR lag(tok) OVER o > stride)::INT AS cut FROM b WINDOW o AS (PARTITION BY conv_id ORDER BY pos)),
 w AS (SELECT *, sum(cut) OVER (PARTITION BY conv_id ORDER BY pos) - 1 AS win FROM k),
-x AS (SELECT *, sum(tok) OVER (PARTITION BY conv_id, win ORDER BY pos DESC) AS tail, max(win) OVER (PARTITION BY conv_id) AS last FROM w),
+x AS (SELECT *, sum(tok) OVER (PARTITION BY conv_id, win ORDER BY pos DESC) AS tail, max(win) OVER (PARTITION BY conv_id) AS last, sum(tok) OVER (PARTITION BY conv_id, win) AS fresh FROM w),
+v AS (SELECT *, CASE WHEN lead(win) OVER o <> win THEN 2048 - sys - lead(fresh) OVER o END AS room FROM x WINDOW o AS (PARTITION BY conv_id ORDER BY pos)),
 n AS (SELECT *, length(regexp_replace(role, '<(\\*)\|', '<\1\\|', 'g')) + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) + 23 AS chars,
-  1 + CASE WHEN pos = 0 AND role = 'system' AND tok <= 256 THEN last WHEN tail <= 256 AND win < last THEN 1 ELSE 0 END AS shown FROM x)
+  1 + CASE WHEN role = 'system' THEN last - win WHEN win < last AND (tail <= 256 OR coalesce(tok <= room, false)) THEN 1 ELSE 0 END AS shown FROM v)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, sum(chars * shown)::BIGINT AS formatted_chars
