@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 EPOCH_SECONDS, STEPS_PER_SECOND, COUNTER_BITS = 1_577_836_800, 20, 16
 
 
+def _div(x: Column, by: int) -> Column:
+    """Division of whole numbers, without a detour by doubles."""
+    return F.call_function("div", x, F.lit(by).cast("long"))
+
+
 def micros(ts: Column) -> Column:
     """Microseconds of a timestamp, zoned or not (the session's zone is UTC)."""
     return F.unix_micros(ts.cast("timestamp"))
@@ -18,7 +23,7 @@ def micros(ts: Column) -> Column:
 
 def tick(unix_micros: Column) -> Column:
     """Instants before 2020 give tick 0."""
-    steps = F.floor((unix_micros - EPOCH_SECONDS * 1_000_000) / F.lit(1_000_000 // STEPS_PER_SECOND)).cast("long")
+    steps = _div(unix_micros - EPOCH_SECONDS * 1_000_000, 1_000_000 // STEPS_PER_SECOND)
     return F.shiftleft(F.greatest(F.lit(0).cast("long"), steps), COUNTER_BITS)
 
 
@@ -28,7 +33,12 @@ def with_offset(tick_: Column, offset: Column | int) -> Column:
 
 def seconds(tick_: Column) -> Column:
     """Whole unix seconds."""
-    return F.floor(F.shiftright(tick_, COUNTER_BITS) / F.lit(STEPS_PER_SECOND)).cast("long") + EPOCH_SECONDS
+    return _div(F.shiftright(tick_, COUNTER_BITS), STEPS_PER_SECOND) + EPOCH_SECONDS
+
+
+def millis(unix_micros: Column) -> Column:
+    """Whole milliseconds, rounded down before 1970 as well."""
+    return _div(unix_micros - F.pmod(unix_micros, F.lit(1000).cast("long")), 1000)
 
 
 def seconds_exact(tick_: Column) -> Column:

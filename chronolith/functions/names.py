@@ -62,3 +62,12 @@ def encode_id(number: Column) -> Column:
     """Twenty base-32 symbols in groups of 6, 8 and 6, of a non-negative 64-bit number."""
     digits = F.translate(F.lower(F.conv(number.cast("string"), 10, 32)), BASE32_DIGITS, ID_ALPHABET)
     return F.regexp_replace(F.lpad(digits, 20, "0"), "^(.{6})(.{8})(.{6})$", "$1-$2-$3")
+
+
+def encode_wide_id(number: Column) -> Column:
+    """The same of a non-negative number below 2^100, given as decimal(38,0): two halves of 50 bits, ten symbols each."""
+    half = F.lit(1 << 50).cast("decimal(38,0)")
+    wide = number.cast("decimal(38,0)")
+    digits = lambda x: F.lpad(F.lower(F.conv(x.cast("string"), 10, 32)), 10, "0")
+    both = F.concat(digits(F.call_function("div", wide, half)), digits((wide % half).cast("long")))
+    return F.regexp_replace(F.translate(both, BASE32_DIGITS, ID_ALPHABET), "^(.{6})(.{8})(.{6})$", "$1-$2-$3")

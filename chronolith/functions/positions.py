@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from chronolith.errors import BAD_KEY
+
 SEPARATOR_HEX = "7C"  # the byte between a stream's name and its position
 
 
@@ -47,6 +49,21 @@ def stream_key(stream_name: Column, encoded: Column) -> Column:
     return F.concat(F.hex(stream_name.cast("binary")), F.lit(SEPARATOR_HEX), _hex16(encoded))
 
 
+def next_stream_key(stream_name: Column, encoded: Column) -> Column:
+    """The key of the stream's next position of the same kind."""
+    return stream_key(stream_name, following(encoded))
+
+
+def max_stream_key(stream_name: Column) -> Column:
+    """The key after which no other of the stream can come: all bits of the position are set."""
+    return F.concat(F.hex(stream_name.cast("binary")), F.lit(SEPARATOR_HEX), F.lit("F" * 16))
+
+
+def key_error(parsed: Column) -> Column:
+    """Why a key gave no position; null for one that did."""
+    return F.when(parsed.isNull(), BAD_KEY)
+
+
 def parse_stream_key(key: Column) -> Column:
     """struct(stream_name, position_enc); null where the key is short, lacks the separator or names no stream."""
     n = F.length(key)

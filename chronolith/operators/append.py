@@ -11,14 +11,17 @@ and the chain of accepted ones is followed by doubling those pointers in joins.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronolith import errors
+from chronolith.functions import positions
 from chronolith.sources.storage import written
 
 from .ordered import number
 
-LONG = 10_000
+#: A stream's commands are folded as one array up to here: each step copies one flag a command, a byte.
+LONG = 1000
 
 
 def _folded(cmds: DataFrame, last: DataFrame) -> DataFrame:
@@ -26,14 +29,15 @@ def _folded(cmds: DataFrame, last: DataFrame) -> DataFrame:
     rows = F.sort_array(F.collect_list(F.struct("seq", "expected", "kind"))).alias("rows")
     streams = cmds.groupBy("stream_name").agg(rows).join(last, "stream_name", "left")
 
-    def accepted(acc, c):
+    def judge(acc, c):
         ok = c["expected"].eqNullSafe(acc["last"]) & F.coalesce(c["kind"] == "sequential", F.lit(True))
-        return F.when(ok, F.struct(F.coalesce(acc["last"] + 1, F.lit(0).cast("long")).alias("last"), F.concat(acc["took"], F.array(c["seq"])).alias("took"))).otherwise(acc)
+        moved = F.when(ok, F.coalesce(acc["last"] + 1, F.lit(0).cast("long"))).otherwise(acc["last"])
+        return F.struct(moved.alias("last"), F.concat(acc["flags"], F.when(ok, "1").otherwise("0")).alias("flags"))
 
-    start = F.struct(F.col("last").alias("last"), F.array().cast("array<bigint>").alias("took"))
-    done = streams.withColumn("took", F.aggregate("rows", start, accepted)["took"])
-    each = done.select("stream_name", "last", F.explode("rows").alias("c"), "took")
-    return each.select("c.seq", "stream_name", "c.expected", "c.kind", F.array_contains("took", F.col("c.seq")).alias("ok"), "last")
+    start = F.struct(F.col("last").alias("last"), F.lit("").alias("flags"))
+    done = streams.withColumn("flags", F.aggregate("rows", start, judge)["flags"])
+    each = done.select("stream_name", "last", "flags", F.posexplode("rows").alias("at", "c"))
+    return each.select("c.seq", "stream_name", "c.expected", "c.kind", (F.substr("flags", F.col("at") + 1, F.lit(1)) == "1").alias("ok"), "last")
 
 
 def _chained(cmds: DataFrame, last: DataFrame) -> DataFrame:
@@ -58,7 +62,10 @@ def _chained(cmds: DataFrame, last: DataFrame) -> DataFrame:
 
 
 def judged(cmds: DataFrame, log: DataFrame | None = None, long: int = LONG) -> DataFrame:
-    """seq, stream_name, expected, kind, ok, got of every command; ``log``: stream_name, stream_position of what is stored."""
+    """seq, stream_name, expected, kind, ok, got of every command; ``log``: stream_name, stream_position of what is stored.
+
+    The commands are read more than once: give a stored table, not one that is costly to compute.
+    """
     spark = cmds.sparkSession
     cols = cmds.select("seq", "stream_name", F.col("expected").cast("long").alias("expected"), "kind")
     if log is None:
@@ -82,9 +89,29 @@ def receipts(verdicts: DataFrame, last_global: int = 0) -> DataFrame:
 
 
 def rejects(verdicts: DataFrame) -> DataFrame:
-    reason = F.when(F.coalesce(F.col("kind") == "sequential", F.lit(True)), "wrong stream position").otherwise("unsupported position kind")
+    reason = F.when(F.coalesce(F.col("kind") == "sequential", F.lit(True)), errors.WRONG_POSITION).otherwise(errors.UNSUPPORTED_KIND)
     return verdicts.filter(~F.col("ok")).select("seq", "stream_name", "expected", "got", reason.alias("reason"))
 
 
+def message_rows(cmds: DataFrame, receipts_: DataFrame, time_ms: Column | None = None) -> DataFrame:
+    """The messages that accepted commands become: position = expected + 1 or 0, empty metadata null."""
+    time_ms = F.lit(0) if time_ms is None else time_ms
+    rows = cmds.drop("expected", "kind").join(receipts_.select("seq", "global_position", "stream_position"), "seq")
+    return rows.select(
+        "global_position", "stream_name", "stream_position", positions.encode(F.col("stream_position")).alias("position_enc"), "message_type", "data",
+        F.nullif("metadata", F.lit("")).alias("metadata"), "id", time_ms.cast("long").alias("time_ms"),
+    )
+
+
+def raise_first(rejected: DataFrame) -> None:
+    """The first rejected command as an exception, for callers who want all or an error."""
+    r = rejected.orderBy("seq").first()
+    if r is None:
+        return
+    if r["reason"] == errors.WRONG_POSITION:
+        raise errors.WrongStreamPosition(r["stream_name"], r["expected"], r["got"])
+    raise errors.LogError(f"{r['reason']}: command {r['seq']} of {r['stream_name']}")
+
+
 def duplicate_ids(messages: DataFrame) -> DataFrame:
     return messages.groupBy("id").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq")).filter("n > 1")

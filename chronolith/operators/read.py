@@ -69,6 +69,11 @@ def latest_of_all(messages: DataFrame, *cols: str) -> DataFrame:
     return messages.groupBy("stream_name").agg(last).select("stream_name", "m.*")
 
 
+def last_positions(messages: DataFrame) -> DataFrame:
+    """Every stream's largest encoded position as it is stored; a stream without messages has no row."""
+    return messages.groupBy("stream_name").agg(F.max("position_enc").alias("position_enc"))
+
+
 def last_global_position(messages: DataFrame) -> DataFrame:
     return messages.agg(F.coalesce(F.max("global_position"), F.lit(0)).cast("long").alias("global_position"))
 
@@ -83,3 +88,12 @@ def decoded(rows: DataFrame, json: Column, schema: str, keep_errors: bool = True
     body = F.from_json(json, schema + ", _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record", "mode": "PERMISSIVE"})
     out = rows.withColumn("body", body).withColumn("error", F.col("body").isNull() | F.col("body._corrupt_record").isNotNull())
     return out if keep_errors else out.filter(~F.col("error"))
+
+
+def decoded_strictly(rows: DataFrame, message_type: str, json: Column, schema: str) -> DataFrame:
+    """Messages of exactly this type with their body; others have no row, and a body that doesn't decode fails the query."""
+    body = F.from_json(json, schema + ", _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"})
+    mine = rows.filter(F.col("message_type") == message_type).withColumn("body", body)
+    bad = F.col("body").isNull() | F.col("body._corrupt_record").isNotNull()
+    failed = F.raise_error(F.concat(F.lit("could not decode: "), F.coalesce(json, F.lit("null"))))
+    return mine.withColumn("body", F.when(bad, failed).otherwise(F.col("body").dropFields("_corrupt_record")))

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolith.functions import clock, names, positions
-from chronolith.operators import append, fold, ordered, read
+from chronolith.operators import append, events, fold, ordered, read
 from chronolith.operators.read import ReadSpec
 from chronolith.sources import log
-from chronolith.sources.storage import new_path
+from chronolith.sources.storage import new_path, written
+from chronolith.sources.store import LogStore, append_stream
 from chronolith.streaming import append as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,7 +21,6 @@ ORACLES: dict[str, str] = {}
 
 STREAM = "click-7"
 SHOWN = ("global_position", "stream_name", "message_type", "data", "metadata", "id")
-POSTED = "struct<poster_id:string,body:string>"
 
 _ID = r"""regexp_replace(lpad(translate(lower(to_base({}, 32)), '0123456789abcdefghijklmnopqrstuv', '0123456789abcdefghjkmnpqrstvwxyz'), 20, '0'), '^(.{{6}})(.{{8}})(.{{6}})$', '\1-\2-\3')"""
 _M = f"""m AS (SELECT event_id, event_type, user_id, event_id + 1 AS global_position, event_type || '-' || user_id AS stream_name, event_type AS message_type, props AS data,
@@ -186,6 +186,21 @@ def stream_key_hex(spark, d):
     return log.events_messages(spark, d).select("global_position", positions.stream_key(F.col("stream_name"), F.col("position_enc")).alias("key"))
 
 
+@query("SELECT global_position, hex(stream_name::BLOB) || '7C' || lpad(to_base(stream_position * 2 + 2, 16), 16, '0') AS next_key, hex(stream_name::BLOB) || '7C' || 'FFFFFFFFFFFFFFFF' AS max_key FROM m")
+def stream_key_range(spark, d):
+    """What a scan of a stream seeks: the key after a message's own, and the one that ends the stream."""
+    s = F.col("stream_name")
+    return log.events_messages(spark, d).select("global_position", positions.next_stream_key(s, F.col("position_enc")).alias("next_key"), positions.max_stream_key(s).alias("max_key"))
+
+
+@query("SELECT global_position, CASE WHEN event_id % 7 = 0 THEN 'could not parse key' END AS error FROM m")
+def key_errors(spark, d):
+    e = F.col("event_id")
+    sk = positions.stream_key(F.col("stream_name"), F.col("position_enc"))
+    parsed = positions.parse_stream_key(F.when(e % 7 == 0, F.substring(sk, -16, 16)).otherwise(sk))
+    return log.events_messages(spark, d).select("global_position", positions.key_error(parsed).alias("error"))
+
+
 @query("SELECT global_position AS g, CASE WHEN event_id % 5 <> 0 THEN global_position END AS parsed_global, CASE WHEN event_id % 7 <> 0 THEN stream_name END AS stream_name, CASE WHEN event_id % 7 <> 0 THEN stream_position * 2 END AS position_enc FROM m")
 def parse_keys(spark, d):
     g, e = F.col("global_position"), F.col("event_id")
@@ -228,7 +243,7 @@ def tick_with_offset(spark, d):
 
 @query("SELECT global_position, time_us // 1000 AS time_ms FROM m")
 def time_ms(spark, d):
-    return log.events_base(spark, d).select("global_position", F.floor(F.col("time_us") / 1000).alias("time_ms"))
+    return log.events_base(spark, d).select("global_position", clock.millis(F.col("time_us")).alias("time_ms"))
 
 
 @query(f"SELECT global_position, max({_TICK.format(_SKEW)}) OVER (ORDER BY global_position)::BIGINT AS last FROM m")
@@ -306,6 +321,18 @@ def id_encode(spark, d):
     return log.table(spark, d, "orders").select("o_orderkey", names.encode_id(F.col("o_orderkey") * 1000003).alias("id"))
 
 
+_WIDE = "(o_orderkey::HUGEINT * 84442493013196800 * 65537 + o_custkey)"
+_HALF = "lpad(translate(lower(to_base(({})::BIGINT, 32)), '0123456789abcdefghijklmnopqrstuv', '0123456789abcdefghjkmnpqrstvwxyz'), 10, '0')"
+
+
+@query(f"SELECT o_orderkey, regexp_replace({_HALF.format(_WIDE + ' // 1125899906842624')} || {_HALF.format(_WIDE + ' % 1125899906842624')}, '^(.{{6}})(.{{8}})(.{{6}})$', '\\1-\\2-\\3') AS id FROM orders")
+def id_encode_wide(spark, d):
+    """Ids of numbers beyond 64 bits."""
+    wide = F.col("o_orderkey").cast("decimal(38,0)") * F.lit(84442493013196800).cast("decimal(18,0)")
+    wide = wide.cast("decimal(32,0)") * F.lit(65537).cast("decimal(5,0)") + F.col("o_custkey")
+    return log.table(spark, d, "orders").select("o_orderkey", names.encode_wide_id(wide).alias("id"))
+
+
 # --- append
 
 _CMDS = """b AS (SELECT 2 * event_id AS seq, id, stream_name, CASE WHEN stream_position > 0 THEN stream_position - 1 END AS expected, event_id FROM m),
@@ -322,31 +349,35 @@ _ACCEPTED = "SELECT seq, stream_name, p AS stream_position FROM r"
 _REJECTED = """SELECT c.seq, c.stream_name, c.expected, (SELECT max(p) FROM r WHERE r.stream_name = c.stream_name AND r.seq < c.seq) AS got, 'wrong stream position' AS reason FROM c WHERE c.seq NOT IN (SELECT seq FROM r)"""
 
 
+def _commands(spark: SparkSession, d: str, gappy: bool = False) -> DataFrame:
+    return written(log.commands(spark, d, gappy), "commands")
+
+
 @query("")
 def append_accepted(spark, d):
-    ok = append.judged(log.commands(spark, d)).filter("ok")
+    ok = append.judged(_commands(spark, d)).filter("ok")
     return ok.select("seq", "stream_name", F.coalesce(F.col("expected") + 1, F.lit(0)).alias("stream_position"))
 
 
 @query("")
 def append_rejected(spark, d):
-    return append.rejects(append.judged(log.commands(spark, d)))
+    return append.rejects(append.judged(_commands(spark, d)))
 
 
 @query("")
 def append_rejected_cascade(spark, d):
-    return append.rejects(append.judged(log.commands(spark, d, gappy=True)))
+    return append.rejects(append.judged(_commands(spark, d, gappy=True)))
 
 
 @query("")
 def append_receipts(spark, d):
-    return append.receipts(append.judged(log.commands(spark, d, gappy=True)))
+    return append.receipts(append.judged(_commands(spark, d, gappy=True)))
 
 
 @query("")
 def append_long_streams(spark, d):
     """The same receipts with every stream taken as a long one."""
-    return append.receipts(append.judged(log.commands(spark, d, gappy=True), long=1))
+    return append.receipts(append.judged(_commands(spark, d, gappy=True), long=1))
 
 
 ORACLES["append_accepted"] = _append_sql(_ACCEPTED)
@@ -355,6 +386,61 @@ ORACLES["append_rejected_cascade"] = _append_sql(_REJECTED, True)
 ORACLES["append_receipts"] = ORACLES["append_long_streams"] = _append_sql("SELECT seq, stream_name, row_number() OVER (ORDER BY seq) AS global_position, p AS stream_position FROM r", True)
 
 
+def _put_in_parts(spark: SparkSession, d: str, parts: int, **how) -> LogStore:
+    """A new stored log into which the commands were put, so many seq ranges one after another."""
+    c = _commands(spark, d, gappy=True)
+    target = LogStore(spark, new_path(spark, "log"))
+    for part in _arrivals(c, parts):
+        target.put(part, **how)
+    return target
+
+
+def _arrivals(c: DataFrame, parts: int) -> list[DataFrame]:
+    top = (c.agg(F.max("seq")).first()[0] or 0) + 1
+    return [c.filter((F.col("seq") >= top * i // parts) & (F.col("seq") < top * (i + 1) // parts)) for i in range(parts)]
+
+
+@query("")
+def put_twice(spark, d):
+    """Two puts into a stored log, read back from the global layout."""
+    stored = _put_in_parts(spark, d, 2).log("global").df
+    return stored.select("global_position", "stream_name", "stream_position", "position_enc", "message_type", "data", "metadata", "id")
+
+
+@query("")
+def put_stream_layout(spark, d):
+    """The same from the stream layout: one stream's rows with a filter that reaches the scan."""
+    stored = _put_in_parts(spark, d, 2).log("stream")
+    return ReadSpec().in_stream(STREAM).of(stored).select("global_position", "stream_position", "data", "id")
+
+
+@query("")
+def stored_last_position(spark, d):
+    """The last position of every stream as the log holds it, which the next put starts from."""
+    return _put_in_parts(spark, d, 2).last_positions()
+
+
+@query("")
+def put_reject_reasons(spark, d):
+    """Why commands were rejected: of a wrong position, of an unsupported kind, or without JSON."""
+    c = log.commands(spark, d, gappy=True)
+    e = F.expr("seq div 2")
+    c = c.withColumn("kind", F.when(e % 41 == 7, "relaxed").otherwise(F.col("kind"))).withColumn("data", F.when(e % 53 == 9, "{").otherwise(F.col("data")))
+    target = LogStore(spark, new_path(spark, "log"))
+    target.put(c, only_json=True)
+    return target.rejects().groupBy("reason").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
+
+
+_PUT = "SELECT seq, row_number() OVER (ORDER BY seq) AS global_position, r.stream_name, r.p AS stream_position, event_type AS message_type, data, metadata, id FROM (SELECT r.*, c.event_id FROM r JOIN c USING (seq)) r JOIN (SELECT event_id, event_type, data, metadata, id FROM m) m USING (event_id)"
+ORACLES["put_twice"] = _append_sql(f"SELECT global_position, stream_name, stream_position, 2 * stream_position AS position_enc, message_type, data, metadata, id FROM ({_PUT})", True)
+ORACLES["put_stream_layout"] = _append_sql(f"SELECT global_position, stream_position, data, id FROM ({_PUT}) WHERE stream_name = '{STREAM}' ORDER BY global_position LIMIT 1000", True)
+ORACLES["stored_last_position"] = _append_sql("SELECT stream_name, 2 * max(p) AS position_enc FROM r GROUP BY 1", True)
+ORACLES["put_reject_reasons"] = _append_sql(
+    """SELECT reason, count(*) AS n, min(seq) AS first_seq FROM (SELECT seq, CASE WHEN event_id % 53 = 9 THEN 'data is not JSON' WHEN event_id % 41 = 7 THEN 'unsupported position kind' ELSE 'wrong stream position' END AS reason
+  FROM c WHERE seq NOT IN (SELECT seq FROM r)) GROUP BY 1""", True
+).replace("FROM c WHERE expected IS NULL", "FROM c WHERE expected IS NULL AND event_id % 53 <> 9 AND event_id % 41 <> 7").replace("AND c.expected = r.p", "AND c.expected = r.p AND event_id % 53 <> 9 AND event_id % 41 <> 7")
+
+
 @query("SELECT id, count(*) AS n, min(seq) AS first_seq FROM (SELECT id, 2 * event_id AS seq FROM m UNION ALL SELECT id, 2 * event_id + 1 FROM m WHERE event_id % 10 = 0) GROUP BY id HAVING count(*) > 1")
 def duplicate_ids(spark, d):
     return append.duplicate_ids(log.commands(spark, d))
@@ -370,7 +456,7 @@ def stream_contiguity(spark, d):
 @query("SELECT unnest(['global', 'stream']) AS layout, (SELECT count(*) FROM events) AS n, 0::BIGINT AS missing")
 def layout_parity(spark, d):
     """Both stored layouts hold the same messages: rows of each, and rows that the other lacks."""
-    m = log.events_messages(spark, d).withColumn("time_ms", F.floor(F.col("time_us") / 1000)).select(*log.MESSAGES.names)
+    m = log.events_messages(spark, d).withColumn("time_ms", clock.millis(F.col("time_us"))).select(*log.MESSAGES.names)
     at = new_path(spark, "layouts")
     for by in ("global", "stream"):
         log.store(m, f"{at}/{by}", by)
@@ -384,37 +470,49 @@ def layout_parity(spark, d):
 # --- events and folds
 
 _POSTS = """p AS (SELECT global_position, 'post-' || user_id AS stream_name, CASE event_id % 11 WHEN 3 THEN 'HiddenByModerator' WHEN 5 THEN 'HiddenByPoster' WHEN 7 THEN 'Other' ELSE 'Posted' END AS message_type,
-  CASE WHEN event_id % 11 IN (3, 5, 7) THEN '' WHEN event_id % 37 = 0 THEN '{' ELSE '{"poster_id":"user-' || user_id || '","body":"' || event_type || ' ' || event_id || '"}' END AS data FROM m),
+  CASE WHEN event_id % 11 IN (3, 5, 7) THEN '' WHEN event_id % 37 = 0 THEN '{' ELSE '{"poster_id":"user-' || user_id || '","body":"' || event_type || ' ' || event_id || '","status":"' || CASE event_id % 5 WHEN 0 THEN 'Unpublished' WHEN 1 THEN 'HiddenByPoster' ELSE 'Visible' END || '"}' END AS data FROM m),
 e AS (SELECT global_position, stream_name, CASE WHEN message_type = 'Posted' AND NOT json_valid(data) OR message_type = 'Other' THEN 'Unknown' ELSE message_type END AS event,
-  CASE WHEN message_type = 'Posted' AND json_valid(data) THEN data ->> 'poster_id' END AS poster_id, CASE WHEN message_type = 'Posted' AND json_valid(data) THEN data ->> 'body' END AS body FROM p)"""
+  CASE WHEN message_type = 'Posted' AND json_valid(data) THEN data ->> 'poster_id' END AS poster_id, CASE WHEN message_type = 'Posted' AND json_valid(data) THEN data ->> 'body' END AS body,
+  CASE WHEN message_type LIKE 'Hidden%' THEN message_type WHEN message_type = 'Posted' AND json_valid(data) THEN data ->> 'status' END AS status FROM p)"""
+
+
+#: What a post's status can be; the first one is that of a post without messages.
+STATUSES = ("Unpublished", "Visible", "HiddenByPoster", "HiddenByModerator")
 
 
 def posts(spark: SparkSession, d: str) -> DataFrame:
     """The events as a log of posts: some hidden again, some of an unknown type, some with broken bodies."""
-    k, u = F.col("event_id") % 11, F.col("user_id").cast("string")
+    e, u = F.col("event_id"), F.col("user_id").cast("string")
+    k = e % 11
     kind = F.when(k == 3, "HiddenByModerator").when(k == 5, "HiddenByPoster").when(k == 7, "Other").otherwise("Posted")
-    body = F.to_json(F.struct(F.concat(F.lit("user-"), u).alias("poster_id"), F.concat_ws(" ", "event_type", F.col("event_id").cast("string")).alias("body")))
-    data = F.when(k.isin(3, 5, 7), "").when(F.col("event_id") % 37 == 0, "{").otherwise(body)
+    data = F.when(k.isin(3, 5, 7), "").when(e % 37 == 0, "{").otherwise(F.to_json(_post(e, u)))
     return log.events_base(spark, d).select("global_position", F.concat(F.lit("post-"), u).alias("stream_name"), kind.alias("message_type"), data.alias("data"))
 
 
+def _post(e: Column, u: Column) -> Column:
+    status = F.when(e % 5 == 0, "Unpublished").when(e % 5 == 1, "HiddenByPoster").otherwise("Visible")
+    return F.struct(F.concat(F.lit("user-"), u).alias("poster_id"), F.concat_ws(" ", "event_type", e.cast("string")).alias("body"), status.alias("status"))
+
+
 def decoded_posts(p: DataFrame) -> DataFrame:
-    """global_position, stream_name, event, poster_id, body; only ``Posted`` has a body to decode."""
-    body = F.from_json(F.when(F.col("message_type") == "Posted", F.col("data")), "poster_id string, body string, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"})
+    """global_position, stream_name, event, poster_id, body, status; only ``Posted`` has a body to decode, which must hold all three."""
+    body = F.from_json(F.when(F.col("message_type") == "Posted", F.col("data")), "poster_id string, body string, status string, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"})
     p = p.withColumn("b", body)
-    bad = (F.col("message_type") == "Posted") & (F.col("b").isNull() | F.col("b._corrupt_record").isNotNull())
+    whole = F.col("b.poster_id").isNotNull() & F.col("b.body").isNotNull() & F.coalesce(F.col("b.status").isin(*STATUSES), F.lit(False))
+    bad = (F.col("message_type") == "Posted") & ~(whole & F.col("b._corrupt_record").isNull())
     event = F.when(bad | ~F.col("message_type").isin("Posted", "HiddenByModerator", "HiddenByPoster"), "Unknown").otherwise(F.col("message_type"))
-    return p.select("global_position", "stream_name", event.alias("event"), F.when(event == "Posted", F.col("b.poster_id")).alias("poster_id"), F.when(event == "Posted", F.col("b.body")).alias("body"))
+    posted = event == "Posted"
+    status = F.when(posted, F.col("b.status")).when(event != "Unknown", event)
+    return p.select("global_position", "stream_name", event.alias("event"), F.when(posted, F.col("b.poster_id")).alias("poster_id"), F.when(posted, F.col("b.body")).alias("body"), status.alias("status"))
 
 
 def post_fields() -> dict[str, tuple[Column, Column]]:
     posted, known = F.col("event") == "Posted", F.col("event") != "Unknown"
-    status = F.when(posted, "Visible").otherwise(F.col("event"))
-    return {"poster_id": (F.col("poster_id"), posted), "body": (F.col("body"), posted), "status": (status, known)}
+    return {"poster_id": (F.col("poster_id"), posted), "body": (F.col("body"), posted), "status": (F.col("status"), known)}
 
 
 _STATE = """SELECT stream_name, arg_max(poster_id, global_position) FILTER (event = 'Posted') AS poster_id, arg_max(body, global_position) FILTER (event = 'Posted') AS body,
-  arg_max(CASE event WHEN 'Posted' THEN 'Visible' ELSE event END, global_position) FILTER (event <> 'Unknown') AS status, count(*) AS n_messages FROM e GROUP BY stream_name"""
+  arg_max(status, global_position) FILTER (event <> 'Unknown') AS status, count(*) AS n_messages FROM e GROUP BY stream_name"""
 
 
 @query("")
@@ -439,7 +537,7 @@ def fold_defaults(spark, d):
 def stream_fold(spark, d):
     p = posts(spark, d)
     at = new_path(spark, "posts")
-    p.repartitionByRange(4, "global_position").write.parquet(at)
+    p.repartitionByRange("global_position").write.parquet(at)
     live = streaming.files(spark, at, p.schema, 2)
     return streaming.drained(streaming.last_writer(decoded_posts(live), post_fields()), "stream-fold", "complete")
 
@@ -450,6 +548,33 @@ ORACLES["fold_defaults"] = f"""WITH {_M}, {_POSTS}, s AS ({_STATE}) SELECT 'post
   coalesce(n_messages, 0) AS n_messages FROM customer LEFT JOIN s ON s.stream_name = 'post-' || c_custkey"""
 
 
+@query("")
+def decode_strict(spark, d):
+    """Only messages of the type ``posted``; any other has no row, and a broken body would fail the query."""
+    p = posts(spark, d)
+    p = p.withColumn("message_type", F.when((F.col("message_type") == "Posted") & (F.col("data") != "{"), "posted").otherwise(F.col("message_type")))
+    rows = read.decoded_strictly(p, "posted", F.col("data"), "poster_id string, body string, status string")
+    return rows.select("global_position", "stream_name", "body.poster_id", "body.body", "body.status")
+
+
+@query("")
+def event_commands(spark, d):
+    """Events of posts put into a stored log as commands, each at its entity's version, and folded from what was stored."""
+    b = written(log.events_base(spark, d).select("event_id", "event_type", "user_id", F.concat(F.lit("post-"), F.col("user_id")).alias("stream_name"), "global_position"), "post-events")
+    e, u, k = F.col("event_id"), F.col("user_id").cast("string"), F.col("event_id") % 11
+    numbered = log._stream_position(b)
+    kind = F.when(k == 3, "HiddenByModerator").when(k == 5, "HiddenByPoster").when(k == 7, "Other").otherwise("Posted")
+    version = F.when(F.col("stream_position") > 0, F.col("stream_position") - 1)
+    c = events.to_commands(numbered, F.lit("post"), u, kind, F.when(kind == "Posted", _post(e, u)), version, "event_id")
+    target = LogStore(spark, new_path(spark, "log"))
+    target.put(written(c, "commands"))
+    return fold.last_writer(decoded_posts(target.log("stream").df), post_fields())
+
+
+ORACLES["decode_strict"] = f"WITH {_M}, {_POSTS} SELECT global_position, stream_name, poster_id, body, status FROM e WHERE event = 'Posted'"
+ORACLES["event_commands"] = f"WITH {_M}, {_POSTS} {_STATE}".replace("WHEN event_id % 37 = 0 THEN '{' ", "")
+
+
 def _bodies(spark: SparkSession, d: str) -> DataFrame:
     m = log.events_base(spark, d)
     return m.select("global_position", "stream_name", "message_type", F.from_json("data", "k long")["k"].alias("k"))
@@ -472,6 +597,19 @@ def fold_array(spark, d):
     return m.groupBy("stream_name").agg(F.max(k).alias("best"), F.count_if(new).alias("records"))
 
 
+@query("""SELECT message_type, count(*) AS n, sum(k * (rn % 7))::BIGINT AS weighted, arg_max(k, rn) AS last FROM
+  (SELECT *, (data ->> 'k')::BIGINT AS k, row_number() OVER (PARTITION BY message_type ORDER BY global_position) AS rn FROM m) GROUP BY 1""")
+def fold_long_streams(spark, d):
+    """A fold that needs each message's place, over whole streams of thousands of messages."""
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("weighted"), F.lit(None).cast("long").alias("last"))
+
+    def step(s, x):
+        n = s["n"] + 1
+        return F.struct(n.alias("n"), (s["weighted"] + x["k"] * F.pmod(n, F.lit(7).cast("long"))).alias("weighted"), x["k"].alias("last"))
+
+    return fold.by_array(_bodies(spark, d), start, step, ["k"], "message_type").select("message_type", "state.*")
+
+
 @query("")
 def fold_python(spark, d):
     """The same fold in Python, as the general form for folds that columns can't say."""
@@ -492,17 +630,14 @@ ORACLES["fold_python"] = ORACLES["fold_array"]
 
 @query("")
 def stream_append(spark, d):
-    """The append check as a stream over files of commands, in order of arrival."""
-    c = log.commands(spark, d, gappy=True)
-    at = new_path(spark, "commands")
-    # one file per batch of arrivals: files are read in the order in which they were written
-    top = c.agg(F.max("seq")).first()[0] or 0
-    for i in range(3):
-        lo, hi = top * i // 3, top * (i + 1) // 3 if i < 2 else top + 1
-        c.filter((F.col("seq") >= lo) & (F.col("seq") < hi)).coalesce(1).write.mode("append").parquet(at)
-    live = streaming.files(spark, at, c.schema)
-    verdicts = streaming.drained(streaming.judged(live), "stream-append")
-    return append.receipts(verdicts)
+    """Commands that arrive in three parts, put by a streaming query that is started anew after each part."""
+    c = _commands(spark, d, gappy=True)
+    at, checkpoint = new_path(spark, "arrivals"), new_path(spark, "stream-append-checkpoint")
+    target = LogStore(spark, new_path(spark, "log"))
+    for part in _arrivals(c, 3):
+        part.write.mode("append").parquet(at)
+        append_stream(spark.readStream.schema(c.schema).parquet(at), target, checkpoint).awaitTermination()
+    return target.receipts()
 
 
 ORACLES["stream_append"] = ORACLES["append_receipts"]

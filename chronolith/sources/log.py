@@ -15,9 +15,6 @@ from pyspark.sql import types as T
 
 from chronolith.functions import names, positions
 
-SCHEMA_VERSION = 1
-
-
 def _schema(fields: str) -> T.StructType:
     kinds = {"bigint": T.LongType(), "string": T.StringType()}
     return T.StructType([T.StructField(n, kinds[k]) for n, k in (f.split() for f in fields.split(", "))])
@@ -57,11 +54,20 @@ def events_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _number(text: str) -> int | None:
+    """The number that prints as this text; None for any other text."""
+    return int(text) if text.isascii() and text.isdigit() and str(int(text)) == text and int(text) < 1 << 63 else None
+
+
+def _numbered(s: str, prefix: str, column: str) -> Column:
+    """Rows of the stream ``prefix-<number>``; of any other name there are none."""
+    kind, _, number = s.partition("-")
+    return F.lit(False) if kind != prefix or _number(number) is None else F.col(column) == _number(number)
+
+
 def _in_event_stream(s: str) -> Column:
     kind, _, user = s.partition("-")
-    if not user.isdigit() or str(int(user)) != user:
-        return F.lit(False)
-    return (F.col("event_type") == kind) & (F.col("user_id") == int(user))
+    return F.lit(False) if _number(user) is None else (F.col("event_type") == kind) & (F.col("user_id") == _number(user))
 
 
 def events_log(spark: SparkSession, sf_dir: str) -> Log:
@@ -76,13 +82,13 @@ def orders_log(spark: SparkSession, sf_dir: str) -> Log:
     """Orders as a longer log: a stream for each customer."""
     o = table(spark, sf_dir, "orders")
     df = o.select("o_orderkey", "o_custkey", (F.col("o_orderkey") + 1).alias("global_position"), F.concat(F.lit("customer-"), F.col("o_custkey")).alias("stream_name"), F.col("o_orderstatus").alias("message_type"))
-    return Log(df, lambda p: F.col("o_orderkey") >= p - 1)
+    return Log(df, lambda p: F.col("o_orderkey") >= p - 1, lambda s: _numbered(s, "customer", "o_custkey"))
 
 
 def conversations_log(spark: SparkSession, sf_dir: str) -> Log:
     """Conversations as a log whose positions are stored with it."""
     c = table(spark, sf_dir, "conversations")
-    return Log(c.select(F.concat(F.lit("conv-"), F.col("conv_id")).alias("stream_name"), F.col("turn").alias("stream_position"), F.col("role").alias("message_type"), F.col("text").alias("data"), "conv_id"), in_stream=lambda s: F.col("conv_id") == int(s.partition("-")[2]))
+    return Log(c.select(F.concat(F.lit("conv-"), F.col("conv_id")).alias("stream_name"), F.col("turn").alias("stream_position"), F.col("role").alias("message_type"), F.col("text").alias("data"), "conv_id"), in_stream=lambda s: _numbered(s, "conv", "conv_id"))
 
 
 def commands(spark: SparkSession, sf_dir: str, gappy: bool = False) -> DataFrame:
@@ -106,7 +112,7 @@ def store(messages: DataFrame, path: str, by: str = "global") -> None:
         out = messages.repartitionByRange("global_position").sortWithinPartitions("global_position")
     else:
         out = messages.repartitionByRange("stream_name", "position_enc").sortWithinPartitions("stream_name", "position_enc")
-    out.write.mode("append").option("chronolith.schema.version", SCHEMA_VERSION).parquet(path)
+    out.write.mode("append").parquet(path)
 
 
 def stored(spark: SparkSession, path: str) -> Log:

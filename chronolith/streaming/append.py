@@ -51,25 +51,25 @@ def files(spark: SparkSession, path: str, schema, max_files: int = 1) -> DataFra
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
-def drained(stream: DataFrame, label: str, mode: str = "update", finish: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Run a stream over what there is now, each batch into a folder of its own, and return the result.
+def drained(stream: DataFrame, label: str, mode: str = "update", finish: Callable[[DataFrame], DataFrame] | None = None, folder: str | None = None) -> DataFrame:
+    """Run a stream over what there is now, each batch into a folder of its own, and return the result so far.
 
     In ``complete`` mode the last batch is the result, otherwise all of them are. A batch that is run again
-    after a failure overwrites its own folder.
+    after a failure overwrites its own folder. With the ``folder`` of an earlier call the stream goes on from there.
     """
     spark = stream.sparkSession
-    out, at = new_path(spark, label), new_path(spark, f"{label}-checkpoint")
-    seen: list[int] = []
+    folder = folder or new_path(spark, label)
+    out = f"{folder}/batches"
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        seen.append(batch_id)
         (finish(batch) if finish else batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    q = stream.writeStream.outputMode(mode).option("checkpointLocation", at).trigger(availableNow=True).foreachBatch(sink).start()
+    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(sink).start()
     q.awaitTermination()
+    done = spark.read.parquet(out)
     if mode == "complete":
-        return spark.read.parquet(f"{out}/batch={max(seen)}")
-    return spark.read.parquet(*(f"{out}/batch={b}" for b in sorted(set(seen))))
+        done = done.filter(F.col("batch") == done.agg(F.max("batch")).first()[0])
+    return done.drop("batch")
 
 
 def last_writer(messages: DataFrame, fields: dict[str, tuple[Column, Column]], stream: str = "stream_name", order: str = "global_position") -> DataFrame:
