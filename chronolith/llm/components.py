@@ -1,7 +1,8 @@
 """Connected components of a link table, by alternating large-star and small-star steps in Spark.
 
 Links stay distributed; the driver sees only counts. Each step replaces links by links to smaller neighbours
-and is written to the shared folder. It ends when a round changes nothing: then every node points at the
+and is written to the shared folder. So are the smallest neighbours before their join, whose sides are then plain
+shuffles: Spark can split the part of a node that has very many links. It ends when a round changes nothing: then every node points at the
 smallest id that it can reach.
 """
 
@@ -18,7 +19,7 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     both = links.select("u", "v")
     if large:
         both = both.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("m", "u").alias("m"))
+    low = written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("m", "u").alias("m")), "links-low")
     moved = both.join(low, F.col("u") == F.col("w"))
     if large:
         moved = moved.filter(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))

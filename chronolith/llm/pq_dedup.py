@@ -1,15 +1,19 @@
 """Near-duplicate embeddings by product quantisation.
 
-A bounded sample of the vectors fits a coarse quantiser (k-means lists) and, on residuals, a codebook for each
-subspace. Every vector is then put in its nearest list with the codes of its residual and the length of what
-the codes miss. As a query it visits its ``PROBES`` nearest lists. There asymmetric distances come from tables
-(query residual against codewords); a vector goes on if its distance less its code error can be within the
-threshold, so the codes lose nothing, and is then compared by exact cosine in double precision.
-
-Equal vectors are one class. A list's members and its visitors are cut into blocks of
-bounded size, and each pair of blocks is a group. A pair found
-from both sides counts on one side only. A block returns counts and a spanning forest of its links, not its
-pairs, so output stays in proportion to the vectors.
+A bounded sample of the vectors fits a coarse quantiser and, on residuals, a codebook for each subspace. The coarse
+quantiser has ``k`` centroids for either half of a vector, and each pair of them is an inverted list: k grows with
+the square root of the number of vectors, so lists stay at about ``PER_LIST`` vectors however many there are, and a
+sample of bounded size is enough to fit them. Every vector is put in its nearest list with the codes of its residual
+and the length of what the codes miss. As a query it visits its nearest lists, ``probes`` of them: at least
+``PROBES``, and half the square root of their number where that is more, which keeps recall up as lists get finer.
+There asymmetric distances come from tables (query residual against codewords); a vector goes on if its distance
+less its code error can be within the threshold, so the codes lose nothing, and is then compared by exact cosine in
+double precision.
+
+Equal vectors are one class. A list's members and its visitors are cut into blocks of bounded size, and each pair of
+blocks is a group, to which vectors travel in the precision of the table. A pair found from both sides counts on one
+side only. A block returns counts and a spanning forest of its links, not its pairs, so output stays in proportion
+to the vectors.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components link with nothing; vectors of
 different lengths never link; repeated rows are vectors of their own (cosine 1); null vec_ids count as largest;
@@ -29,60 +33,89 @@ from pyspark.sql import functions as F
 from .common import small_batches, text_key, written
 from .components import components
 
-COSINE, PROBES = 0.9, 12
-SAMPLE, PER_LIST, MOST_LISTS, SUBSPACES, CODEWORDS = 16_384, 400, 4096, 8, 64
-BLOCK = 2048
+COSINE, PROBES = 0.9, 16
+#: Vectors that fit the index, and bytes of them at most; vectors a list; centroids a half at most.
+SAMPLE, SAMPLE_BYTES, PER_LIST, MOST_CENTROIDS = 65_536, 64 << 20, 400, 4096
+SUBSPACES, CODEWORDS, BLOCK = 8, 64, 2048
 _BIG = (1 << 63) - 1
+_CELLS = 1 << 22  # numbers in one block of distances: 16 MB
 
 
-def _nearest(x: np.ndarray, c: np.ndarray, n: int = 1) -> np.ndarray:
-    """The n nearest rows of c for each row of x, nearest first; ties by index."""
-    d = (c * c).sum(1) - 2 * (x @ c.T)
-    return d.argmin(1)[:, None] if n == 1 else np.argsort(d, 1, kind="stable")[:, :n]
+def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The nearest row of c for each row of x, in slices; ties by index."""
+    step, half = max(1, _CELLS // max(1, len(c))), (c * c).sum(1) / 2
+    return np.concatenate([(half - x[i : i + step] @ c.T).argmin(1) for i in range(0, len(x), step)] or [np.zeros(0, np.int64)])
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     r = np.random.default_rng(1)
     c = x[np.sort(r.choice(len(x), min(k, len(x)), replace=False))].copy()
     for _ in range(rounds):
-        at = _nearest(x, c)[:, 0]
-        n = np.bincount(at, minlength=len(c))
-        sums = np.zeros_like(c)
-        np.add.at(sums, at, x)
-        c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c)
+        at = _nearest(x, c)
+        order = np.argsort(at, kind="stable")
+        own, first, n = np.unique(at[order], return_index=True, return_counts=True)
+        c[own] = np.add.reduceat(x[order], first, axis=0) / n[:, None].astype(x.dtype)
     return c
 
 
 class Index:
-    """Coarse centroids and residual codebooks; a few MB at most, sent to the tasks."""
+    """Centroids of either half and residual codebooks; a few MB at most, sent to the tasks."""
 
     def __init__(self, sample: np.ndarray, n: int):
-        self.coarse = _kmeans(sample, int(np.clip(-(-n // PER_LIST), 1, MOST_LISTS)))
-        rest = sample - self.coarse[_nearest(sample, self.coarse)[:, 0]]
-        self.cuts = np.array_split(np.arange(sample.shape[1]), min(SUBSPACES, sample.shape[1]))
-        self.books = [_kmeans(rest[:, c], CODEWORDS) for c in self.cuts]
+        sample = sample.astype(np.float32)
+        dim = sample.shape[1]
+        self.k = int(np.clip(round((n / PER_LIST) ** 0.5), 1, min(MOST_CENTROIDS, len(sample))))
+        self.half = dim // 2
+        self.coarse = [_kmeans(np.ascontiguousarray(x), self.k) for x in (sample[:, : self.half], sample[:, self.half :])]
+        rest = sample - self.centroids(self.lists(sample, 1)[:, 0])
+        self.cuts = np.array_split(np.arange(dim), min(SUBSPACES, dim))
+        self.books = [_kmeans(np.ascontiguousarray(rest[:, c]), CODEWORDS) for c in self.cuts]
 
-    def lists(self, x: np.ndarray, probes: int) -> np.ndarray:
-        return _nearest(x, self.coarse, min(probes, len(self.coarse)) if probes > 1 else 1)
+    def probes(self) -> int:
+        return min(self.k * self.k, max(PROBES, round(self.k / 2)))
+
+    def centroids(self, lists: np.ndarray) -> np.ndarray:
+        return np.concatenate([self.coarse[0][lists // self.k], self.coarse[1][lists % self.k]], 1)
 
-    def codes(self, x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of the residuals to the lists ``at``, and the length of what they miss."""
-        rest = x - self.coarse[at]
-        codes = np.stack([_nearest(rest[:, c], b)[:, 0] for c, b in zip(self.cuts, self.books, strict=True)], 1).astype(np.uint8)
+    def lists(self, x: np.ndarray, probes: int) -> np.ndarray:
+        """The nearest lists of each row, nearest first: of the i-th and j-th nearest centroids only i * j <= probes can be among them."""
+        x = x.astype(np.float32)
+        i, j = np.divmod(np.arange(min(self.k, probes) ** 2), min(self.k, probes))
+        i, j = i[(i + 1) * (j + 1) <= probes], j[(i + 1) * (j + 1) <= probes]
+        out, step = [], max(1, _CELLS // max(len(i), self.k))
+        for at in range(0, len(x), step):
+            own = x[at : at + step]
+            near = [(c * c).sum(1) - 2 * (h @ c.T) for c, h in zip(self.coarse, (own[:, : self.half], own[:, self.half :]), strict=True)]
+            order = [np.argsort(d, 1, kind="stable")[:, :probes] for d in near]
+            near = [np.take_along_axis(d, o, 1) for d, o in zip(near, order, strict=True)]
+            best = np.argsort(near[0][:, i] + near[1][:, j], 1, kind="stable")[:, :probes]
+            out.append(np.take_along_axis(order[0][:, i] * self.k + order[1][:, j], best, 1))
+        return np.concatenate(out) if out else np.zeros((0, 1), np.int64)
+
+    def codes(self, x: np.ndarray, list_: int) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the residuals to a list, and the length of what they miss."""
+        rest = x - self.centroids(np.array([list_]))
+        codes = np.stack([_nearest(rest[:, c], b) for c, b in zip(self.cuts, self.books, strict=True)], 1).astype(np.uint8)
         back = np.concatenate([b[codes[:, i]] for i, b in enumerate(self.books)], 1)
         return codes, np.sqrt(((rest - back) ** 2).sum(1))
 
     def tables(self, q: np.ndarray, list_: int) -> list[np.ndarray]:
         """Per subspace: squared distances of the queries' residuals to the codewords."""
-        rest = q - self.coarse[list_]
+        rest = q - self.centroids(np.array([list_]))
         return [((rest[:, c][:, None, :] - b[None]) ** 2).sum(2).astype(np.float32) for c, b in zip(self.cuts, self.books, strict=True)]
 
 
-def _unit(vectors: list | np.ndarray) -> np.ndarray:
-    x = np.stack([np.asarray(v, np.float64) for v in vectors])
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    x = np.asarray(vectors, np.float64)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True, initial=0))[1])  # very large and small ones have a length as well
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+
+
 def _search(index: Index, cosine: float):
     """One block of one list, with the queries that visit the list -> counts of links by vector, and forest links."""
     reach = float(np.sqrt(2 - 2 * cosine))
@@ -102,15 +135,15 @@ def _search(index: Index, cosine: float):
             return i
 
         if len(x) and len(q):
-            xs = _unit(x["v"])
-            codes, miss = index.codes(xs, np.full(len(x), list_))
+            xs = _unit(np.stack(x["v"].to_list()))
+            codes, miss = index.codes(xs, list_)
             bound = ((reach + miss + 1e-5) ** 2).astype(np.float32)
             x_row, q_row = x.index.to_numpy(), q.index.to_numpy()
             x_probes = [set(p) for p in x["probes"]]
-            q_list = [int(p[0]) for p in q["probes"]]
+            q_list = q["own"].tolist()
             key = list(zip(pdf["d"].tolist(), pdf["k1"].tolist(), pdf["k2"].tolist(), strict=True))
             for at in range(0, len(q), 256):
-                qs = _unit(q["v"].iloc[at : at + 256])
+                qs = _unit(np.stack(q["v"].iloc[at : at + 256].to_list()))
                 near = np.zeros((len(qs), len(x)), np.float32)
                 for i, t in enumerate(index.tables(qs, list_)):
                     near += t[:, codes[:, i]]
@@ -141,40 +174,46 @@ def usable(v: Column) -> Column:
     return v.isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists(v, lambda x: x != 0)
 
 
-def _linked(nodes: DataFrame, dim: int, n: int, cosine: float, probes: int) -> DataFrame:
+def _linked(nodes: DataFrame, dim: int, n: int, cosine: float, probes: int | None) -> DataFrame:
     """d, k1, k2, links, d2, e1, e2 for the classes of one length."""
     mine = nodes.filter(F.size("v") == dim)
-    share = min(1.0, SAMPLE / n)
+    kind = nodes.schema["v"].dataType.simpleString()
+    most = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * dim)))
     draw = F.pmod("k1", F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sample = mine.filter(draw < share).orderBy("k1", "k2").limit(2 * SAMPLE).select("v").toArrow()["v"].to_pylist() or mine.orderBy("k1").limit(1).select("v").toArrow()["v"].to_pylist()
-    index = Index(_unit(sample), n)
+    drawn = mine.filter(draw < min(1.0, 1.1 * most / n)).orderBy("k1", "k2").limit(most).select("v").toArrow()
+    if not drawn.num_rows:
+        drawn = mine.orderBy("k1", "k2").limit(1).select("v").toArrow()
+    index = Index(_unit(_matrix(drawn["v"], dim)), n)
+    visited = min(probes, index.k**2) if probes else index.probes()
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                at = index.lists(_unit(batch.column("v").to_pylist()), probes)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.astype(np.int32).tolist(), pa.list_(pa.int32()))], [*batch.schema.names, "probes"])
+                at = index.lists(_unit(_matrix(batch.column("v"), dim)), visited).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * at.shape[1], pa.int32()), pa.array(at.ravel()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "probes"])
 
-    placed = written(mine.mapInArrow(assign, "d long, k1 long, k2 long, n long, v array<double>, probes array<int>"), "pq-placed")
-    own = F.col("probes")[0]
-    blocks = placed.groupBy(own.alias("list")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = written(mine.mapInArrow(assign, f"d long, k1 long, k2 long, n long, v {kind}, probes array<int>"), "pq-placed")
+    placed = placed.withColumn("own", F.col("probes")[0])
+    blocks = placed.groupBy(F.col("own").alias("list")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     visits = placed.withColumn("list", F.explode("probes"))
-    rounds = visits.groupBy("list").agg(F.ceil(F.count("*") / (2 * BLOCK)).cast("int").alias("rounds"))
-    cuts = blocks.join(rounds, "list")
-    members = placed.withColumn("list", own).join(cuts, "list").withColumn("block", F.pmod("k2", F.col("blocks")).cast("int"))
+    rounds = placed.select(F.explode("probes").alias("list")).groupBy("list").agg(F.ceil(F.count("*") / (2 * BLOCK)).cast("int").alias("rounds"))
+    cuts = written(blocks.join(rounds, "list"), "pq-cuts")
+    members = placed.withColumn("list", F.col("own")).join(cuts, "list").withColumn("block", F.pmod("k2", F.col("blocks")).cast("int"))
     members = members.withColumn("round", F.explode(F.sequence(F.lit(0), F.col("rounds") - 1)))
     visits = visits.join(cuts, "list").withColumn("round", F.pmod("k1", F.col("rounds")).cast("int"))
     visits = visits.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cols = ["list", "block", "round", "d", "k1", "k2", "n", "v", "probes"]
-    both = members.select(*cols, F.lit(True).alias("member")).union(visits.select(*cols, F.lit(False).alias("member")))
+    cols = ["list", "block", "round", "d", "k1", "k2", "n", "v", "own"]
+    both = members.select(*cols, "probes", F.lit(True).alias("member")).union(visits.select(*cols, F.lit(None).cast("array<int>").alias("probes"), F.lit(False).alias("member")))
     return both.groupBy("list", "block", "round").applyInPandas(_search(index, cosine), "d long, k1 long, k2 long, links long, d2 long, e1 long, e2 long")
 
 
-def duplicates(vectors: DataFrame, cosine: float = COSINE, probes: int = PROBES) -> DataFrame:
-    """vec_id, n_links, component_id, kept of every row of ``vectors``."""
+def duplicates(vectors: DataFrame, cosine: float = COSINE, probes: int | None = None) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every row of ``vectors``; ``probes``: lists that a vector visits, if not as many as their number asks for."""
     small_batches(vectors.sparkSession, 2000)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
-    rows = rows.withColumn("ok", usable(F.col("v"))).select("*", *text_key(F.col("v")))
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("v"))
+    rows = rows.withColumn("ok", usable(F.col("v"))).select("*", *text_key(F.col("v").cast("array<double>")))
     d = F.coalesce(F.min("vec_id"), F.lit(_BIG)).alias("d")
     nodes = written(rows.filter("ok").groupBy("k1", "k2").agg(d, F.count("*").alias("n"), F.first("v").alias("v")).select("d", "k1", "k2", "n", "v"), "pq-classes")
     found = None
