@@ -11,8 +11,9 @@ one at 0.80 (the pipeline's limit) three times in 100,000.
 2. In each bucket every node meets the bucket's leaders: one member by order, or by one of two hashes.
    These pairs, a few a node, are verified on the full sets and the links joined to components.
 3. Buckets that still hold several components after that get an exact search of their members: every node
-   outside the bucket's largest component is compared with all others by an inverted index of shingles.
-   Buckets are cut into blocks of bounded bytes, and pairs of blocks dealt to tasks, so no bucket is capped.
+   outside the bucket's largest component is compared with all others by an inverted index of shingles. The
+   bucket's members are cut into blocks of bounded size, and so are the nodes outside; a pair of such blocks is a
+   group. Where few nodes are outside, as a rule, a bucket's members are dealt once. No bucket is capped.
 
 Defined cases: null and empty texts, and texts without words, have the empty set and link with nothing; fewer
 words than a shingle are one shingle; repeated rows are equal sets; null doc_ids count as largest; an empty
@@ -31,11 +32,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, small_batches, text_key, written
+from .common import WORD, small_batches, text_key, word_hashes, written
 from .components import components
 
 WORDS, SLOT_BITS, BANDS, ROWS, PERCENT = 5, 22, 26, 5, 85
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES, BLOCK_ROWS = 2 << 20, 256
 _BIG = (1 << 63) - 1
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -46,30 +47,17 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class Hasher:
-    """Word hashes, kept for reuse up to a bounded number."""
-
-    def __init__(self, words: int = WORDS):
-        self.words, self.known = words, {}
-
-    def shingles(self, text: bytes | None) -> np.ndarray:
-        """Sorted distinct shingle hashes of a whole text."""
-        words = (text or b"").lower().split()
-        if not words:
-            return np.zeros(0, np.uint64)
-        if len(self.known) > 500_000:
-            self.known.clear()
-        known = self.known
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        k = self.words
-        if len(h) < k:
-            return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
-        acc = _mix(h[: len(h) - k + 1])
-        for i in range(1, k):
-            acc = _mix(acc * np.uint64(3) + h[i : len(h) - k + 1 + i])
-        return np.unique(acc)
+def shingles(text: bytes | None, k: int = WORDS) -> np.ndarray:
+    """Sorted distinct shingle hashes of a whole text."""
+    text = (text or b"").lower()
+    h = word_hashes(text)
+    if len(h) < k:
+        return np.array([xxhash.xxh3_64_intdigest(b" ".join(text.split()), seed=len(h))] if len(h) else [], np.uint64)
+    acc = _mix(h[: len(h) - k + 1])
+    for i in range(1, k):
+        acc = _mix(acc * np.uint64(3) + h[i : len(h) - k + 1 + i])
+    acc.sort()
+    return acc[np.concatenate([[True], acc[1:] != acc[:-1]])]
 
 
 @lru_cache(maxsize=1)
@@ -94,11 +82,10 @@ def features(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
         for batch in batches:
             n, f1, f2, bands = [], [], [], []
             for text in batch.column(3).cast(pa.binary()).to_pylist():
-                s = hasher.shingles(text)
+                s = shingles(text)
                 n.append(len(s))
                 f1.append(s.sum(dtype=np.uint64))
                 f2.append(_mix(s).sum(dtype=np.uint64))
@@ -136,13 +123,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     both = both.join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v").select("u", "v", "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, last, other = Hasher(), None, np.zeros(0, np.uint64)
+        last, other = None, np.zeros(0, np.uint64)
         for batch in batches:
             keep = []
             for v, a, b in zip(batch.column("v").to_pylist(), batch.column("a").cast(pa.binary()).to_pylist(), batch.column("b").cast(pa.binary()).to_pylist(), strict=True):
                 if v != last:
-                    last, other = v, hasher.shingles(b)
-                mine = hasher.shingles(a)
+                    last, other = v, shingles(b)
+                mine = shingles(a)
                 same = len(np.intersect1d(mine, other, assume_unique=True))
                 keep.append(100 * same >= percent * (len(mine) + len(other) - same))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
@@ -151,27 +138,26 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def _cross_links(percent: int):
-    """Within a block pair: links between different components, at least one for each two that are linked."""
+    """Nodes outside the largest component (``asks``) against a block of the bucket: links between different components, at least one for each two that are linked."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        hasher = Hasher()
-        sets = [hasher.shingles((t or "").encode()) for t in pdf["text"]]
-        n = np.array([len(s) for s in sets])
-        who = np.repeat(np.arange(len(sets)), n)
-        values = np.concatenate(sets)
-        order = np.argsort(values, kind="stable")
-        values, who = values[order], who[order]
+        asks = pdf["asks"].to_numpy(bool)
         comp = pd.factorize(pdf["comp"].map(repr))[0]
-        largest = np.bincount(comp).argmax()
+        sets = [shingles((t or "").encode()) for t in pdf["text"]]
+        rows = np.flatnonzero(~asks)
         out = []
-        for x in np.flatnonzero(comp != largest):
-            lo, hi = np.searchsorted(values, sets[x]), np.searchsorted(values, sets[x], side="right")
-            ends = np.cumsum(hi - lo)
-            near = who[np.arange(ends[-1]) + np.repeat(lo - (ends - (hi - lo)), hi - lo)]
-            same = np.bincount(near, minlength=len(sets))
-            hit = np.flatnonzero((100 * same >= percent * (n + n[x] - same)) & (comp != comp[x]))
-            for y in hit[np.unique(comp[hit], return_index=True)[1]]:
-                out.append((x, y))
+        if len(rows) and asks.any():
+            n = np.array([len(sets[r]) for r in rows])
+            who, values = np.repeat(np.arange(len(rows)), n), np.concatenate([sets[r] for r in rows])
+            order = np.argsort(values, kind="stable")
+            values, who, own = values[order], who[order], comp[rows]
+            for x in np.flatnonzero(asks):
+                lo, hi = np.searchsorted(values, sets[x]), np.searchsorted(values, sets[x], side="right")
+                ends = np.cumsum(hi - lo)
+                near = who[np.arange(ends[-1]) + np.repeat(lo - (ends - (hi - lo)), hi - lo)]
+                same = np.bincount(near, minlength=len(rows))
+                hit = np.flatnonzero((100 * same >= percent * (n + len(sets[x]) - same)) & (own != comp[x]))
+                out += [(x, rows[y]) for y in hit[np.unique(own[hit], return_index=True)[1]]]
         x, y = (list(c) for c in zip(*out, strict=True)) if out else ([], [])
         cols = {}
         for side, at in (("u", x), ("v", y)):
@@ -182,6 +168,23 @@ def _cross_links(percent: int):
     return run
 
 
+def _asked(left: DataFrame, texts: DataFrame) -> DataFrame:
+    """Open buckets' members (band, node, comp) -> band, i, j, node, comp, asks: each member in its block i, each node outside the largest component in its block j, so that all pairs of these meet."""
+    sized = written(left.join(texts.select("node", F.octet_length("text").alias("bytes")), "node"), "minhash-sized")
+    per = sized.groupBy("band", "comp").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    largest = F.max(F.struct("n", "bytes", "comp")).alias("top")
+    cut = per.groupBy("band").agg(largest, F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(n / BLOCK_ROWS), F.ceil(size / BLOCK_BYTES)).cast("int")
+    n, size = F.col("n"), F.col("bytes")
+    cut = cut.select("band", F.col("top.comp").alias("top"), blocks(n, size).alias("members"), blocks(n - F.col("top.n"), size - F.col("top.bytes")).alias("outside"))
+    each = sized.join(written(cut, "minhash-blocks"), "band")
+    place = lambda seed, m: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
+    members = each.select("band", place("member", "members").alias("i"), every("outside").alias("j"), "node", "comp", F.lit(False).alias("asks"))
+    outside = each.filter(F.col("comp") != F.col("top"))
+    return members.union(outside.select("band", every("members").alias("i"), place("outside", "outside").alias("j"), "node", "comp", F.lit(True).alias("asks")))
+
+
 def _as_node(side: str):
     return F.struct(*(F.col(f"{side}_{c}").alias(c) for c in ("d", "f1", "f2")))
 
@@ -220,11 +223,7 @@ def duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     open_ = written(open_.select("band"), "minhash-open-buckets")
     left = written(in_bucket.join(open_, "band"), "minhash-open")
     if not left.isEmpty():
-        size = left.join(texts.select("node", F.octet_length("text").alias("bytes")), "node").groupBy("band").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("blocks"))
-        cut = left.join(written(size, "minhash-blocks"), "band").withColumn("own", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
-        cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        cut = cut.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "comp")
-        full = cut.join(texts, "node").select("band", "i", "j", "node.d", "node.f1", "node.f2", F.concat_ws(":", "comp.d", "comp.f1", "comp.f2").alias("comp"), "text")
+        full = _asked(left, texts).join(texts, "node").select("band", "i", "j", "node.d", "node.f1", "node.f2", F.concat_ws(":", "comp.d", "comp.f1", "comp.f2").alias("comp"), "asks", "text")
         more = full.groupBy("band", "i", "j").applyInPandas(_cross_links(percent), "u_d long, u_f1 long, u_f2 long, v_d long, v_f1 long, v_f2 long")
         more = written(more.select(_as_node("u").alias("u"), _as_node("v").alias("v")), "minhash-more")
         if not more.isEmpty():
