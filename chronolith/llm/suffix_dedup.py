@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, text_key, written
+from .common import Scratch, small_batches, text_key, word_hashes, word_places
 from .suffix_groups import ordered_columns
 
 
@@ -51,7 +51,7 @@ class Unit:
 
 
 BYTES, WORDS = Unit("bytes", 400, 64, 1), Unit("words", 51, 16, 8)
-#: Different contexts a group, contexts that are ordered together, hashes that a task remembers.
+#: Different contexts a group, contexts that are ordered together, contexts that a task remembers.
 GROUP, TOGETHER, KNOWN = 512, 4096, 100_000
 _TABLE = np.random.default_rng(64).integers(0, 1 << 63, 256, dtype=np.uint64)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -62,30 +62,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-class Symbols:
-    """Texts as strings of a unit; word hashes are kept for reuse up to a bounded number."""
-
-    def __init__(self, unit: Unit):
-        self.unit, self.known = unit, {}
-
-    def of(self, raw: bytes) -> bytes:
-        """The symbols of a text, ``unit.width`` bytes each."""
-        if self.unit.width == 1:
-            return raw
-        words = raw.split()
-        if len(self.known) > 5 * KNOWN:
-            self.known.clear()
-        for w in set(words).difference(self.known):
-            self.known[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words)).tobytes()
-
-
-def places(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """First byte of each word, and the byte after its last one."""
-    b = np.frombuffer(raw, np.uint8)
-    word = np.concatenate([[False], ~((b == 32) | ((b >= 9) & (b <= 13))), [False]])
-    edges = np.flatnonzero(word[1:] != word[:-1])
-    return edges[::2], edges[1::2]
+def symbols(raw: bytes, unit: Unit) -> bytes:
+    """A text as a string of the unit, ``width`` bytes a symbol."""
+    return raw if unit.width == 1 else word_hashes(raw).tobytes()
 
 
 def _grams(h: np.ndarray, length: int) -> np.ndarray:
@@ -102,11 +81,11 @@ def _grams(h: np.ndarray, length: int) -> np.ndarray:
         span *= 2
 
 
-def anchors(symbols: bytes, unit: Unit = BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(string: bytes, unit: Unit = BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Per context: gram hash, first window's start, number of windows, anchor's place after that start."""
-    if len(symbols) < unit.length * unit.width:
+    if len(string) < unit.length * unit.width:
         return (np.zeros(0, np.int64),) * 4
-    h = _grams(_TABLE[np.frombuffer(symbols, np.uint8)] if unit.width == 1 else _mix(np.frombuffer(symbols, np.uint64)), unit.gram)
+    h = _grams(_TABLE[np.frombuffer(string, np.uint8)] if unit.width == 1 else np.frombuffer(string, np.uint64), unit.gram)
     low = (h & ~_LOW) | np.arange(len(h), dtype=np.uint64)
     width, span = unit.length - unit.gram + 1, 1
     while span * 2 <= width:
@@ -175,9 +154,8 @@ def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
 
 def _found_anchors(unit: Unit):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols = Symbols(unit)
         for batch in batches:
-            found = [anchors(symbols.of(x), unit) for x in batch.column("text").cast(pa.binary()).to_pylist()]
+            found = [anchors(symbols(x, unit), unit) for x in batch.column("text").cast(pa.binary()).to_pylist()]
             cols = [_lists([f[i] for f in found]) for i in range(4)]
             yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), *cols], ["k1", "k2", "g", "start", "n", "off"])
 
@@ -188,12 +166,12 @@ def _contexts(unit: Unit):
     """(k1, k2, text, found) -> a row per context that may be repeated. A task gives a context's symbols once, as long as it remembers it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, seen = Symbols(unit), set()
+        seen: set[tuple[int, int]] = set()
         w = unit.width
         for batch in batches:
             cols: list[list] = [[] for _ in range(8)]
             for k1, k2, raw, found in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2")), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("found").to_pylist(), strict=True):
-                text = symbols.of(raw)
+                text = symbols(raw, unit)
                 for f in found:
                     ctx = text[w * f["start"] : w * (f["start"] + f["n"] + unit.length - 1)]
                     c = _ident(struct.pack("<qq", f["g"], f["off"]), ctx)
@@ -262,6 +240,8 @@ def _solved(unit: Unit):
 def _ranges(docs: DataFrame, unit: Unit) -> DataFrame:
     """k1, k2, ranges: covered ranges (a, b) of symbols of every document that has some."""
     small_batches(docs.sparkSession)
+    scratch, result = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
+    written = scratch.written
     label = lambda x: f"suffix-{unit.name}-{x}"
     found = _keyed(docs).mapInArrow(_found_anchors(unit), "k1 long, k2 long, g array<long>, start array<long>, n array<long>, off array<long>")
     found = written(found.filter(F.size("g") > 0), label("anchors"))
@@ -295,7 +275,25 @@ def _ranges(docs: DataFrame, unit: Unit) -> DataFrame:
     solved = dealt.mapInArrow(_solved(unit), "c1 long, c2 long, lo array<long>, hi array<long>")
     solved = written(solved, label("solved")).select("c1", "c2", F.explode(F.arrays_zip("lo", "hi")).alias("r"))
     spots = places_.join(solved, ["c1", "c2"]).select("k1", "k2", F.struct((F.col("start") + F.col("r.lo")).alias("a"), (F.col("start") + F.col("r.hi")).alias("b")).alias("r"))
-    return spots.groupBy("k1", "k2").agg(F.collect_set("r").alias("ranges"))
+    out = result.written(spots.groupBy("k1", "k2").agg(F.collect_set("r").alias("ranges")), label("ranges"))
+    scratch.done()
+    return out
+
+
+def _all_ranges(docs: DataFrame, units: tuple[Unit, ...]) -> DataFrame:
+    """k1, k2, parts: the ranges of each unit (its number, ranges) that a document has."""
+    found = None
+    for i, unit in reversed(list(enumerate(units))):
+        own = _ranges(docs, unit).select("k1", "k2", F.struct(F.lit(i).alias("part"), "ranges").alias("p"))
+        found = own if found is None else found.unionByName(own)
+    return found.groupBy("k1", "k2").agg(F.collect_list("p").alias("parts"))
+
+
+def _with_parts(docs: DataFrame, units: tuple[Unit, ...], *columns: Column) -> DataFrame:
+    """The columns, text and parts of every row."""
+    none = F.array().cast("array<struct<part:int,ranges:array<struct<a:bigint,b:bigint>>>>")
+    rows = _keyed(docs, *columns).join(_all_ranges(docs, units), ["k1", "k2"], "left")
+    return rows.drop("k1", "k2").withColumn("parts", F.coalesce("parts", none))
 
 
 def _kept(text: bytes, runs: list[tuple[int, int]]) -> tuple[bytes, int]:
@@ -307,28 +305,34 @@ def _kept(text: bytes, runs: list[tuple[int, int]]) -> tuple[bytes, int]:
     return b"".join([*out, text[at:]]), len(runs)
 
 
-def spans(docs: DataFrame, unit: Unit = BYTES) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of ``docs``, by bytes."""
-    found = _ranges(docs, unit)
-    body = _keyed(docs, F.col("doc_id")).join(found, ["k1", "k2"], "left").select("doc_id", "text", "ranges")
+def spans(docs: DataFrame, unit: Unit = BYTES, passages: Unit | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of ``docs``, by bytes.
+
+    ``passages`` adds what else is found by another unit, which removes nothing here: n_passages and n_passage_symbols.
+    """
+    units = (unit,) if passages is None else (unit, passages)
+    body = _with_parts(docs, units, F.col("doc_id"))
     kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["n_passages", "n_passage_symbols"] * (passages is not None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, ranges in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                kept, n = _kept(text, _in_bytes(text, ranges or [], unit))
-                rows.append((len(text), len(text) - len(kept), n, hashlib.sha256(kept).hexdigest()))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            for text, parts in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                found = {p["part"]: p["ranges"] for p in parts}
+                kept, n = _kept(text, _in_bytes(text, found.get(0, []), unit))
+                more = merged([(r["a"], r["b"]) for r in found.get(1, [])])
+                rows.append((len(text), len(text) - len(kept), n, hashlib.sha256(kept).hexdigest(), len(more), sum(b - a for a, b in more)))
+            cols = list(zip(*rows, strict=True))[: len(names)] if rows else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.string() if x == "kept_sha256" else pa.int64()) for x, c in zip(names, cols, strict=True))], ["doc_id", *names])
 
-    return body.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return body.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{x} {'string' if x == 'kept_sha256' else 'long'}" for x in names))
 
 
 def _in_bytes(text: bytes, ranges: list[dict], unit: Unit) -> list[tuple[int, int]]:
     if not ranges or unit.width == 1:
         return [(r["a"], r["b"]) for r in ranges]
-    first, end = places(text)
+    first, end = word_places(text)
     return [(int(first[r["a"]]), int(end[r["b"] - 1])) for r in ranges]
 
 
@@ -338,15 +342,9 @@ def cleaned(docs: DataFrame, units: tuple[Unit, ...] = (BYTES, WORDS)) -> DataFr
     Removed is what lies in a repeat of any of the units. A passage of 51 words may have fewer bytes than 400, or be
     set with other white space; one of 400 bytes may have fewer words.
     """
-    parts = [_ranges(docs, u).withColumn("part", F.lit(i)) for i, u in enumerate(units)]
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    found = found.groupBy("k1", "k2").agg(F.collect_list(F.struct("part", "ranges")).alias("parts"))
     names = docs.columns
     row = F.struct(*(F.col(f"`{c}`").alias(c) for c in names)).alias("row")
-    none = F.array().cast("array<struct<part:int,ranges:array<struct<a:bigint,b:bigint>>>>")
-    body = _keyed(docs, row).join(found, ["k1", "k2"], "left").select("row", "text", F.coalesce("parts", none).alias("parts"))
+    body = _with_parts(docs, units, row)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
