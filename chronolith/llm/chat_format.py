@@ -14,8 +14,9 @@ after ``<`` (and each ``<\\..|`` one more), which ``unescaped`` takes away again
 
 Defined cases: null texts and roles are empty; turns are ordered by turn (null first), role and text, and
 repeated rows are turns of their own; null conversation ids form one conversation; an empty table gives an
-empty result; other columns are ignored. All turns of one conversation meet in one task, as its digest needs
-them in order; only sorting (which spills) and one window at a time are held.
+empty result; other columns are ignored. All turns of one conversation meet in one task, as windows and digest need
+them in order. Formatting holds sorted rows, which spill, and one window at a time; ``read_back`` holds the texts of one
+conversation, of which it makes a hash.
 """
 
 from __future__ import annotations

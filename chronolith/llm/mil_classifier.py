@@ -5,12 +5,14 @@ capitals, repeats and so on) and encoded by a tanh layer; gated attention, ``w .
 put through a softmax over the document's passages, weighs the codes, and the weighted code is scored. Encoder,
 attention and score are learned together from document labels alone.
 
-The model is fitted with numpy on at most about ``SAMPLE`` labelled documents, those with the smallest hashes;
-it has a few thousand numbers and is sent to the tasks that score all documents. Scores are mapped so that the
+The model is fitted with numpy on at most ``SAMPLE`` labelled documents, those with the smallest hashes, and of a
+longer one on ``MOST_PASSAGES`` passages at even distances; these bounds hold for fitting alone. A model has a few
+thousand numbers and is sent to the tasks that score every passage of all documents. Scores are mapped so that the
 cut which served best in training lies at ``CUT``.
 
 Defined cases: null and empty texts, and texts without words, are one empty passage; repeated rows are scored
-one by one; a document with several labels counts with the smallest; without labelled rows, or with labels of
+one by one; a document with several labels counts with the smallest, one with several texts is learned from the
+text with the smallest hash; without labelled rows, or with labels of
 one kind only, every score is that kind's share (1 without labels); an empty table gives an empty result;
 other columns are ignored.
 """
@@ -28,6 +30,7 @@ from .common import fold_of, small_batches
 
 PASSAGE, SAMPLE, FOLDS, HELD_OUT, CUT = 64, 3000, 5, 0, 0.3
 HIDDEN, ATTENTION, EPOCHS, RATE = 24, 12, 250, 0.03
+MOST_PASSAGES = 512
 
 
 def _lut(chars: bytes) -> np.ndarray:
@@ -83,6 +86,11 @@ def _squashed(x: np.ndarray) -> np.ndarray:
     return np.log1p(4 * x)
 
 
+def _spread(bag: np.ndarray) -> np.ndarray:
+    """At most ``MOST_PASSAGES`` rows, at even distances."""
+    return bag if len(bag) <= MOST_PASSAGES else bag[np.linspace(0, len(bag) - 1, MOST_PASSAGES).astype(np.int64)]
+
+
 class Model:
     """Weights of the network, the features' scale and the map of raw scores to scores."""
 
@@ -102,6 +110,21 @@ class Model:
         z = np.add.reduceat(a[:, None] * h, first)
         return h, t, s, a, z, 1 / (1 + np.exp(-np.clip(z @ p["c"] + p["d"], -30, 30)))
 
+    def gradient(self, x: np.ndarray, first: np.ndarray, bag: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the weighted cross-entropy, by every weight."""
+        h, t, s, a, z, out = self._forward(x, first, bag)
+        p, do = self.p, (out - y) * weight
+        g = {"c": z.T @ do, "d": np.array([do.sum()])}
+        dz = do[:, None] * p["c"]
+        da = (h * dz[bag]).sum(1)
+        de = a * (da - np.add.reduceat(a * da, first)[bag])
+        g["w"] = (t * s).T @ de
+        dt, ds = de[:, None] * p["w"] * s * (1 - t * t), de[:, None] * p["w"] * t * s * (1 - s)
+        g["V"], g["U"] = dt.T @ h, ds.T @ h
+        dh = (a[:, None] * dz[bag] + dt @ p["V"] + ds @ p["U"]) * (1 - h * h)
+        g["W"], g["b"] = dh.T @ x, dh.sum(0)
+        return g
+
     def fit(self, bags: list[np.ndarray], y: np.ndarray) -> Model:
         x = _squashed(np.concatenate(bags).astype(np.float64))
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-3
@@ -111,17 +134,7 @@ class Model:
         weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6)) / len(y)
         m, v = ({k: np.zeros_like(a) for k, a in self.p.items()} for _ in range(2))
         for step in range(1, EPOCHS + 1):
-            h, t, s, a, z, out = self._forward(x, first, bag)
-            p, do = self.p, (out - y) * weight
-            g = {"c": z.T @ do, "d": np.array([do.sum()])}
-            dz = do[:, None] * p["c"]
-            da = (h * dz[bag]).sum(1)
-            de = a * (da - np.add.reduceat(a * da, first)[bag])
-            g["w"] = (t * s).T @ de
-            dt, ds = de[:, None] * p["w"] * s * (1 - t * t), de[:, None] * p["w"] * t * s * (1 - s)
-            g["V"], g["U"] = dt.T @ h, ds.T @ h
-            dh = (a[:, None] * dz[bag] + dt @ p["V"] + ds @ p["U"]) * (1 - h * h)
-            g["W"], g["b"] = dh.T @ x, dh.sum(0)
+            p, g = self.p, self.gradient(x, first, bag, y, weight)
             for k in p:
                 grad = g[k] + 1e-5 * p[k]
                 m[k] = 0.9 * m[k] + 0.1 * grad
@@ -153,11 +166,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bags = [encode(x or b"").ravel().tolist() for x in batch.column("text").cast(pa.binary()).to_pylist()]
+            bags = [_spread(encode(x or b"")).ravel().tolist() for x in batch.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality").cast(pa.int32()), pa.array(bags, pa.list_(pa.float32()))], ["doc_id", "y", "x"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = texts.select("doc_id", "quality", "text").mapInArrow(features, f"doc_id {kind}, y int, x array<float>").toArrow()
+    rows = texts.select("doc_id", "quality", "text").mapInArrow(features, f"doc_id {kind}, y int, x array<float>")
+    rows = rows.groupBy("doc_id").agg(F.min("y").alias("y"), F.min_by("x", F.xxhash64("x")).alias("x")).toArrow()
     y = np.array(rows["y"].to_pylist(), float)
     if not len(y) or y.min() == y.max():
         return Model(constant=float(y.mean()) if len(y) else 1.0)
