@@ -2,8 +2,8 @@
 
 Links stay distributed; the driver sees only counts. Each step replaces links by links to smaller neighbours
 and is written to the shared folder. So are the smallest neighbours before their join, whose sides are then plain
-shuffles: Spark can split the part of a node that has very many links. It ends when a round changes nothing: then every node points at the
-smallest id that it can reach.
+shuffles: Spark can split the part of a node that has very many links. It ends when only stars are left: each node
+points at the smallest id that it can reach.
 """
 
 from __future__ import annotations
@@ -28,16 +28,18 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return moved.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
 
 
+def _stars(links: DataFrame) -> bool:
+    """Whether every node either is a centre or has one link, to a centre."""
+    ends = links.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in"))
+    ends = ends.union(links.select("v", F.lit(0), F.lit(1))).groupBy("node").agg(F.sum("out").alias("out"), F.max("in").alias("in"))
+    return ends.filter("out + in > 1").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """links (u, v) -> (node, component) for every node that has a link to another."""
     now = links.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now = written(now, "links")
-    state = None
-    while True:
+    while not _stars(now):
         now = written(_star(_star(now, True), False), "links")
-        row = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if (row["n"], row["h"]) == state or not row["n"]:
-            break
-        state = (row["n"], row["h"])
     pairs = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return pairs.union(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    return pairs.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -227,7 +227,8 @@ def duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         more = full.groupBy("band", "i", "j").applyInPandas(_cross_links(percent), "u_d long, u_f1 long, u_f2 long, v_d long, v_f1 long, v_f2 long")
         more = written(more.select(_as_node("u").alias("u"), _as_node("v").alias("v")), "minhash-more")
         if not more.isEmpty():
-            comps = written(components(links.select("u", "v").union(more)), "minhash-components")
+            known = comps.select(F.col("node").alias("u"), F.col("component").alias("v"))
+            comps = written(components(known.union(more)), "minhash-components")
 
     by_class = nodes.join(comps, "node", "left").select("n", "node.f1", "node.f2", F.coalesce("component", "node").alias("component"))
     out = feats.select("doc_id", "k1", "k2", "n", "f1", "f2").join(by_class, ["n", "f1", "f2"], "left")
