@@ -38,7 +38,7 @@ COSINE, PROBES = 0.9, 16
 SAMPLE, SAMPLE_BYTES, PER_LIST, MOST_CENTROIDS = 65_536, 64 << 20, 400, 4096
 SUBSPACES, CODEWORDS, BLOCK = 8, 64, 2048
 _BIG = (1 << 63) - 1
-_CELLS = 1 << 22  # numbers in one block of distances: 16 MB
+_CELLS, _PAIRS = 1 << 22, 1 << 15  # numbers in one block of distances (16 MB), pairs compared at once
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -116,6 +116,22 @@ def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
+def _joined(root: np.ndarray, u: np.ndarray, v: np.ndarray) -> list[int]:
+    """Join the trees of u[i] and v[i] in ``root`` (every row points at its tree's root); which i joined two trees."""
+    used: list[int] = []
+    while True:
+        a, b = np.minimum(root[u], root[v]), np.maximum(root[u], root[v])
+        apart = np.flatnonzero(a != b)
+        if not len(apart):
+            return used
+        _, one = np.unique(b[apart], return_index=True)  # each upper root joins one lower tree in a round
+        one = apart[one]
+        used += one.tolist()
+        root[b[one]] = a[one]
+        while (root[root] != root).any():
+            root[:] = root[root]
+
+
 def _search(index: Index, cosine: float):
     """One block of one list, with the queries that visit the list -> counts of links by vector, and forest links."""
     reach = float(np.sqrt(2 - 2 * cosine))
@@ -123,46 +139,36 @@ def _search(index: Index, cosine: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         list_ = int(pdf["list"].iloc[0])
         member = pdf["member"].to_numpy(bool)
-        x, q = pdf[member], pdf[~member]
-        links: dict[int, int] = {}
-        root: dict[int, int] = {}
-        pairs: list[tuple[int, int]] = []
-
-        def find(i: int) -> int:
-            while root.setdefault(i, i) != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        if len(x) and len(q):
-            xs = _unit(np.stack(x["v"].to_list()))
+        x_row, q_row = np.flatnonzero(member), np.flatnonzero(~member)
+        links, root, pairs = np.zeros(len(pdf), np.int64), np.arange(len(pdf)), []
+        if len(x_row) and len(q_row):
+            v = pdf["v"].to_numpy()
+            xs = _unit(np.stack(v[x_row]))
             codes, miss = index.codes(xs, list_)
             bound = ((reach + miss + 1e-5) ** 2).astype(np.float32)
-            x_row, q_row = x.index.to_numpy(), q.index.to_numpy()
-            x_probes = [set(p) for p in x["probes"]]
-            q_list = q["own"].tolist()
-            key = list(zip(pdf["d"].tolist(), pdf["k1"].tolist(), pdf["k2"].tolist(), strict=True))
-            for at in range(0, len(q), 256):
-                qs = _unit(np.stack(q["v"].iloc[at : at + 256].to_list()))
-                near = np.zeros((len(qs), len(x)), np.float32)
+            probes, own, n = np.stack(pdf["probes"].to_numpy()[x_row]), pdf["own"].to_numpy(), pdf["n"].to_numpy(np.int64)
+            rank = pdf.groupby(["d", "k1", "k2"], sort=True).ngroup().to_numpy()  # of the vector, as member and as query
+            for at in range(0, len(q_row), 256):
+                rows = q_row[at : at + 256]
+                qs = _unit(np.stack(v[rows]))
+                near = np.zeros((len(qs), len(xs)), np.float32)
                 for i, t in enumerate(index.tables(qs, list_)):
                     near += t[:, codes[:, i]]
                 a, b = np.nonzero(near <= bound)
-                ok = np.einsum("ij,ij->i", qs[a], xs[b]) >= cosine
-                for i, j in zip(a[ok].tolist(), b[ok].tolist(), strict=True):
-                    u, v = q_row[at + i], x_row[j]
-                    # found from the other side as well: the smaller key's query counts
-                    if key[u] == key[v] or key[u] > key[v] and q_list[at + i] in x_probes[j]:
-                        continue
-                    n_u, n_v = pdf["n"].iat[u], pdf["n"].iat[v]
-                    links[u], links[v] = links.get(u, 0) + n_v, links.get(v, 0) + n_u
-                    if (p := find(u)) != (r := find(v)):
-                        root[p] = r
-                        pairs.append((u, v))
-        cols = ["d", "k1", "k2"]
-        one = pdf.loc[list(links), cols].assign(links=list(links.values()), d2=None, e1=None, e2=None)
-        two = pdf.loc[[u for u, _ in pairs], cols].reset_index(drop=True).assign(links=0)
-        two[["d2", "e1", "e2"]] = pdf.loc[[v for _, v in pairs], cols].to_numpy(np.int64)
+                ok = np.concatenate([np.einsum("ij,ij->i", qs[a[i : i + _PAIRS]], xs[b[i : i + _PAIRS]]) >= cosine for i in range(0, len(a), _PAIRS)] or [np.zeros(0, bool)])
+                a, b = a[ok], b[ok]
+                u, w = rows[a], x_row[b]
+                # found from the other side as well: the smaller vector's query counts
+                twice = (rank[u] > rank[w]) & (probes[b] == own[u][:, None]).any(1)
+                once = (rank[u] != rank[w]) & ~twice
+                u, w = u[once], w[once]
+                np.add.at(links, u, n[w])
+                np.add.at(links, w, n[u])
+                pairs += [(int(u[i]), int(w[i])) for i in _joined(root, u, w)]
+        cols, some = ["d", "k1", "k2"], np.flatnonzero(links)
+        one = pdf.iloc[some][cols].assign(links=links[some], d2=None, e1=None, e2=None)
+        two = pdf.iloc[[u for u, _ in pairs]][cols].reset_index(drop=True).assign(links=0)
+        two[["d2", "e1", "e2"]] = pdf.iloc[[w for _, w in pairs]][cols].to_numpy(np.int64)
         return pd.concat([f for f in (one, two) if len(f)] or [one]).astype(dict.fromkeys(["d2", "e1", "e2"], "Int64") | {"links": "int64"})
 
     return lambda pdf: run(pdf.reset_index(drop=True))
