@@ -1,42 +1,17 @@
-"""Session settings and shared storage used by the training-data operators."""
+"""Session settings, scratch tables and word hashes used by the training-data operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word of the contracts: a run of code points other than ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share: ``spark.checkpoint.dir``.
+from chronolith.sources.storage import new_path, written
 
-    Where the setting is absent (tests on one machine) a temporary folder takes its place.
-    """
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("chronolith.shared.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="chronolith-")
-        spark.conf.set("chronolith.shared.dir", at)
-    return at.rstrip("/")
+__all__ = ["WORD", "Scratch", "fold_of", "new_path", "small_batches", "text_key", "word_hashes", "word_places", "written"]
 
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: A word of the contracts: a run of code points other than ASCII white space.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 class Scratch:
