@@ -40,8 +40,7 @@ def op5_pq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = suffix_dedup.spans(table(spark, sf_dir, "documents"), passages=suffix_dedup.WORDS)
-    return found.withColumnRenamed("n_passage_symbols", "n_passage_words")
+    return suffix_dedup.spans_and_passages(table(spark, sf_dir, "documents"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

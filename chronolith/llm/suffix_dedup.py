@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, small_batches, text_key, word_hashes, word_places
+from .common import Scratch, small_batches, text_key, word_hashes, word_places, written
 from .suffix_groups import ordered_columns
 
 
@@ -240,42 +240,41 @@ def _solved(unit: Unit):
 def _ranges(docs: DataFrame, unit: Unit) -> DataFrame:
     """k1, k2, ranges: covered ranges (a, b) of symbols of every document that has some."""
     small_batches(docs.sparkSession)
-    scratch, result = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
-    written = scratch.written
+    scratch = Scratch(docs.sparkSession)
     label = lambda x: f"suffix-{unit.name}-{x}"
     found = _keyed(docs).mapInArrow(_found_anchors(unit), "k1 long, k2 long, g array<long>, start array<long>, n array<long>, off array<long>")
-    found = written(found.filter(F.size("g") > 0), label("anchors"))
+    found = scratch.written(found.filter(F.size("g") > 0), label("anchors"))
     each = found.select("k1", "k2", F.explode(F.arrays_zip("g", "start", "n", "off")).alias("f"))
     # written, so that the join's sides are plain shuffles, of which Spark can split a frequent gram's part
-    twice = written(found.select(F.explode("g").alias("g")).groupBy("g").count().filter("count > 1").select("g"), label("grams"))
+    twice = scratch.written(found.select(F.explode("g").alias("g")).groupBy("g").count().filter("count > 1").select("g"), label("grams"))
     some = each.withColumn("g", F.col("f.g")).join(twice, "g", "left_semi").groupBy("k1", "k2").agg(F.collect_set("f").alias("found"))
     body = _keyed(docs).join(some, ["k1", "k2"]).select("k1", "k2", "text", "found")
-    ctx = written(body.mapInArrow(_contexts(unit), "k1 long, k2 long, start long, c1 long, c2 long, g long, off long, ctx binary"), label("contexts"))
+    ctx = scratch.written(body.mapInArrow(_contexts(unit), "k1 long, k2 long, start long, c1 long, c2 long, g long, off long, ctx binary"), label("contexts"))
 
     places_ = ctx.select("k1", "k2", "start", "c1", "c2")
-    left = written(ctx.groupBy("g", "off", "c1", "c2").agg(F.count("*").alias("count"), F.first("ctx", ignorenulls=True).alias("ctx")), label("groups"))
+    left = scratch.written(ctx.groupBy("g", "off", "c1", "c2").agg(F.count("*").alias("count"), F.first("ctx", ignorenulls=True).alias("ctx")), label("groups"))
     ready, now, step = None, places_, 1 << ((unit.length - unit.gram).bit_length() - 1)
     while True:
         large = left.groupBy("g").agg(F.count("*").alias("m")).filter(F.col("m") > GROUP).select("g")
-        large = written(large, label("large"))
+        large = scratch.written(large, label("large"))
         rest = left.join(large, "g", "left_anti")
         ready = rest if ready is None else ready.unionByName(rest)
         if not step or large.isEmpty():
             break
         split = left.join(large, "g").mapInArrow(_split(step, unit), "c1 long, c2 long, delta long, g long, off long, count long, d1 long, d2 long, ctx binary")
-        split = written(split, label("split"))
+        split = scratch.written(split, label("split"))
         now = now.join(split.select("c1", "c2", "delta", "d1", "d2"), ["c1", "c2"])
-        now = written(now.select("k1", "k2", (F.col("start") + F.col("delta")).alias("start"), F.col("d1").alias("c1"), F.col("d2").alias("c2")), label("places"))
+        now = scratch.written(now.select("k1", "k2", (F.col("start") + F.col("delta")).alias("start"), F.col("d1").alias("c1"), F.col("d2").alias("c2")), label("places"))
         places_ = places_.unionByName(now)
         left = split.groupBy("g", "off", F.col("d1").alias("c1"), F.col("d2").alias("c2")).agg(F.sum("count").alias("count"), F.first("ctx").alias("ctx"))
-        left = written(left.select("g", "off", "c1", "c2", "count", "ctx"), label("groups"))
+        left = scratch.written(left.select("g", "off", "c1", "c2", "count", "ctx"), label("groups"))
         step //= 2
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = ready.repartition(n, "g").sortWithinPartitions("g").select("g", "c1", "c2", "off", "count", "ctx")
     solved = dealt.mapInArrow(_solved(unit), "c1 long, c2 long, lo array<long>, hi array<long>")
-    solved = written(solved, label("solved")).select("c1", "c2", F.explode(F.arrays_zip("lo", "hi")).alias("r"))
+    solved = scratch.written(solved, label("solved")).select("c1", "c2", F.explode(F.arrays_zip("lo", "hi")).alias("r"))
     spots = places_.join(solved, ["c1", "c2"]).select("k1", "k2", F.struct((F.col("start") + F.col("r.lo")).alias("a"), (F.col("start") + F.col("r.hi")).alias("b")).alias("r"))
-    out = result.written(spots.groupBy("k1", "k2").agg(F.collect_set("r").alias("ranges")), label("ranges"))
+    out = written(spots.groupBy("k1", "k2").agg(F.collect_set("r").alias("ranges")), label("ranges"))
     scratch.done()
     return out
 
@@ -296,37 +295,56 @@ def _with_parts(docs: DataFrame, units: tuple[Unit, ...], *columns: Column) -> D
     return rows.drop("k1", "k2").withColumn("parts", F.coalesce("parts", none))
 
 
-def _kept(text: bytes, runs: list[tuple[int, int]]) -> tuple[bytes, int]:
-    """What is left of a text and the number of removed runs."""
+def _kept(text: bytes, runs: list[tuple[int, int]], mark: Callable[[int], bytes] = lambda i: b"") -> tuple[bytes, int]:
+    """What is left of a text, with ``mark(i)`` for the i-th removed run, and the number of these runs."""
     runs, out, at = merged(runs), [], 0
-    for a, b in runs:
-        out.append(text[at:a])
+    for i, (a, b) in enumerate(runs):
+        out += [text[at:a], mark(i)]
         at = b
     return b"".join([*out, text[at:]]), len(runs)
 
 
-def spans(docs: DataFrame, unit: Unit = BYTES, passages: Unit | None = None) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of ``docs``, by bytes.
+def spans(docs: DataFrame, unit: Unit = BYTES) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of ``docs``, by bytes."""
+    return _spans(docs, unit).drop("left")
 
-    ``passages`` adds what else is found by another unit, which removes nothing here: n_passages and n_passage_symbols.
-    """
-    units = (unit,) if passages is None else (unit, passages)
-    body = _with_parts(docs, units, F.col("doc_id"))
+
+def _spans(docs: DataFrame, unit: Unit) -> DataFrame:
+    """The same and ``left``: what is left of the text, with a word of its own at every cut."""
+    body = _with_parts(docs, (unit,), F.col("doc_id"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["n_passages", "n_passage_symbols"] * (passages is not None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text, parts in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                found = {p["part"]: p["ranges"] for p in parts}
-                kept, n = _kept(text, _in_bytes(text, found.get(0, []), unit))
-                more = merged([(r["a"], r["b"]) for r in found.get(1, [])])
-                rows.append((len(text), len(text) - len(kept), n, hashlib.sha256(kept).hexdigest(), len(more), sum(b - a for a, b in more)))
-            cols = list(zip(*rows, strict=True))[: len(names)] if rows else [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.string() if x == "kept_sha256" else pa.int64()) for x, c in zip(names, cols, strict=True))], ["doc_id", *names])
-
-    return body.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{x} {'string' if x == 'kept_sha256' else 'long'}" for x in names))
+                runs = _in_bytes(text, parts[0]["ranges"], unit) if parts else []
+                kept, n = _kept(text, runs)
+                sha = hashlib.sha256(kept).hexdigest()
+                own = xxhash.xxh3_64_hexdigest(text).encode()
+                rows.append((len(text), len(text) - len(kept), n, sha, _kept(text, runs, lambda i, own=own: b" %s.%d " % (own, i))[0].decode("utf-8", "ignore")))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), *(pa.array(c, pa.string()) for c in cols[3:])], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "left"])
+
+    return body.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, left string")
+
+
+def spans_and_passages(docs: DataFrame, unit: Unit = BYTES, passages: Unit = WORDS) -> DataFrame:
+    """``spans``, and of the text that these leave n_passages and n_passage_words: the maximal runs of repeats of the other unit, which are only reported."""
+    found = written(_spans(docs, unit), "suffix-spans")
+    more = _ranges(found.select("doc_id", F.col("left").alias("text")), passages)
+    keyed = found.withColumns({c: k for c, k in zip(("k1", "k2"), text_key(F.col("doc_id"), F.col("left")), strict=True)}).drop("left")
+    out = keyed.join(more, ["k1", "k2"], "left")
+    # sorted ranges, of which those that touch are one passage
+    sorted_ = F.sort_array(F.coalesce("ranges", F.array().cast("array<struct<a:bigint,b:bigint>>")))
+    start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("words"), F.lit(-1).cast("bigint").alias("end"))
+
+    def step(s: Column, r: Column) -> Column:
+        apart = r["a"] > s["end"]
+        return F.struct((s["n"] + apart.cast("bigint")).alias("n"), (s["words"] + F.greatest(F.lit(0), r["b"] - F.greatest(r["a"], s["end"]))).alias("words"), F.greatest(s["end"], r["b"]).alias("end"))
+
+    runs = F.aggregate(sorted_, start, step)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", runs["n"].alias("n_passages"), runs["words"].alias("n_passage_words"))
 
 
 def _in_bytes(text: bytes, ranges: list[dict], unit: Unit) -> list[tuple[int, int]]:
