@@ -240,19 +240,20 @@ def _solved(unit: Unit):
 def _ranges(docs: DataFrame, unit: Unit) -> DataFrame:
     """k1, k2, ranges: covered ranges (a, b) of symbols of every document that has some."""
     small_batches(docs.sparkSession)
-    scratch = Scratch(docs.sparkSession)
+    early, scratch = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
     label = lambda x: f"suffix-{unit.name}-{x}"
     found = _keyed(docs).mapInArrow(_found_anchors(unit), "k1 long, k2 long, g array<long>, start array<long>, n array<long>, off array<long>")
-    found = scratch.written(found.filter(F.size("g") > 0), label("anchors"))
+    found = early.written(found.filter(F.size("g") > 0), label("anchors"))
     each = found.select("k1", "k2", F.explode(F.arrays_zip("g", "start", "n", "off")).alias("f"))
     # written, so that the join's sides are plain shuffles, of which Spark can split a frequent gram's part
-    twice = scratch.written(found.select(F.explode("g").alias("g")).groupBy("g").count().filter("count > 1").select("g"), label("grams"))
+    twice = early.written(found.select(F.explode("g").alias("g")).groupBy("g").count().filter("count > 1").select("g"), label("grams"))
     some = each.withColumn("g", F.col("f.g")).join(twice, "g", "left_semi").groupBy("k1", "k2").agg(F.collect_set("f").alias("found"))
     body = _keyed(docs).join(some, ["k1", "k2"]).select("k1", "k2", "text", "found")
-    ctx = scratch.written(body.mapInArrow(_contexts(unit), "k1 long, k2 long, start long, c1 long, c2 long, g long, off long, ctx binary"), label("contexts"))
+    ctx = early.written(body.mapInArrow(_contexts(unit), "k1 long, k2 long, start long, c1 long, c2 long, g long, off long, ctx binary"), label("contexts"))
 
-    places_ = ctx.select("k1", "k2", "start", "c1", "c2")
+    places_ = scratch.written(ctx.select("k1", "k2", "start", "c1", "c2"), label("places"))
     left = scratch.written(ctx.groupBy("g", "off", "c1", "c2").agg(F.count("*").alias("count"), F.first("ctx", ignorenulls=True).alias("ctx")), label("groups"))
+    early.done()
     ready, now, step = None, places_, 1 << ((unit.length - unit.gram).bit_length() - 1)
     while True:
         large = left.groupBy("g").agg(F.count("*").alias("m")).filter(F.col("m") > GROUP).select("g")
