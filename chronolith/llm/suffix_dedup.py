@@ -5,13 +5,16 @@ A text is a string of bytes (``BYTES``: 400 of them) or of words (``WORDS``: 51,
 1. Anchors. Every window of ``length`` symbols owns one anchor, the leftmost least gram hash inside it, so equal
    windows have equal anchors at equal places. Consecutive windows with one anchor are one context: the symbols
    from the first window's start to the last one's end. Only anchors whose gram occurs twice or more go on.
+   Equal texts go on as one with a count, and what a text holds several times as one row with its starts.
 2. Contexts with the same gram meet in one group, equal ones as one row with a count. A group that has more
    than ``GROUP`` different contexts is split by the part that all windows of either half of it must contain,
    as often as needed (in the end a context is a single window), so no group outgrows a task.
+   Only different contexts are split; where they occur is not looked at before step 4.
 3. The contexts of a task's groups, each that occurs more than once as two strings, are aligned by their anchors.
    Linear grouping (``ordered_columns``) orders all suffixes of these strings; a window is repeated where its suffix
    shares ``length`` symbols or more with a neighbour in that order.
-4. The covered ranges go back to the occurrences and from there to the documents.
+4. The covered ranges go back from parts to the contexts that were split, step by step, then to the texts that hold
+   these and to all documents with such a text.
 
 Windows that are equal have one anchor and so stand at the same columns of one group. The result is exact up to
 equal hashes: of 128 bits for contexts, of 64 bits for words.
@@ -148,39 +151,49 @@ def _lists(rows: list, kind: pa.DataType = pa.int64()) -> pa.ListArray:  # noqa:
 
 
 def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
+    """k1, k2 (the same for equal texts), the columns and the text of every row."""
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(*text_key(F.col("doc_id"), F.col("text")), *more, body.alias("text"))
+    return docs.select(*text_key(F.col("text")), *more, body.alias("text"))
 
 
-def _found_anchors(unit: Unit):
+def _found_grams(unit: Unit):
+    """(k1, k2, text) -> the anchors' grams of a text, each once, or twice if it has more anchors with it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [anchors(symbols(x, unit), unit) for x in batch.column("text").cast(pa.binary()).to_pylist()]
-            cols = [_lists([f[i] for f in found]) for i in range(4)]
-            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), *cols], ["k1", "k2", "g", "start", "n", "off"])
+            rows = []
+            for raw in batch.column("text").cast(pa.binary()).to_pylist():
+                g, n = np.unique(anchors(symbols(raw, unit), unit)[0], return_counts=True)
+                rows.append(np.concatenate([g, g[n > 1]]))
+            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), _lists(rows)], ["k1", "k2", "g"])
 
     return run
 
 
 def _contexts(unit: Unit):
-    """(k1, k2, text, found) -> a row per context that may be repeated. A task gives a context's symbols once, as long as it remembers it."""
+    """(k1, k2, text, copies, grams) -> a row per different context of a text that may be repeated, with its starts and how often it
+    occurs in all copies. A task gives a context's symbols once, as long as it remembers it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         w = unit.width
         for batch in batches:
-            cols: list[list] = [[] for _ in range(8)]
-            for k1, k2, raw, found in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2")), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("found").to_pylist(), strict=True):
+            cols: list[list] = [[] for _ in range(9)]
+            for k1, k2, copies, raw, grams in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "copies")), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("grams"), strict=True):
                 text = symbols(raw, unit)
-                for f in found:
-                    ctx = text[w * f["start"] : w * (f["start"] + f["n"] + unit.length - 1)]
-                    c = _ident(struct.pack("<qq", f["g"], f["off"]), ctx)
-                    for col, v in zip(cols, (k1, k2, f["start"], *c, f["g"], f["off"], None if c in seen else ctx), strict=True):
+                found = anchors(text, unit)
+                some = np.isin(found[0], grams.values.to_numpy())
+                places: dict[tuple[int, int], tuple[int, int, bytes, list[int]]] = {}
+                for g, start, n, off in zip(*(f[some].tolist() for f in found), strict=True):
+                    ctx = text[w * start : w * (start + n + unit.length - 1)]
+                    places.setdefault(_ident(struct.pack("<qq", g, off), ctx), (g, off, ctx, []))[3].append(start)
+                for c, (g, off, ctx, starts) in places.items():
+                    for col, v in zip(cols, (k1, k2, *c, g, off, len(starts) * copies, np.array(starts, np.int64), None if c in seen else ctx), strict=True):
                         col.append(v)
                     seen.add(c)
                 if len(seen) > KNOWN:
                     seen.clear()
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:7]), pa.array(cols[7], pa.binary())], ["k1", "k2", "start", "c1", "c2", "g", "off", "ctx"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:7]), _lists(cols[7]), pa.array(cols[8], pa.binary())], ["k1", "k2", "c1", "c2", "g", "off", "n", "start", "ctx"])
 
     return run
 
@@ -238,23 +251,24 @@ def _solved(unit: Unit):
 
 
 def _ranges(docs: DataFrame, unit: Unit) -> DataFrame:
-    """k1, k2, ranges: covered ranges (a, b) of symbols of every document that has some."""
+    """k1, k2, ranges: covered ranges (a, b) of symbols of every different text that has some."""
     small_batches(docs.sparkSession)
     early, scratch = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
     label = lambda x: f"suffix-{unit.name}-{x}"
-    found = _keyed(docs).mapInArrow(_found_anchors(unit), "k1 long, k2 long, g array<long>, start array<long>, n array<long>, off array<long>")
+    found = _keyed(docs).mapInArrow(_found_grams(unit), "k1 long, k2 long, g array<long>")
     found = early.written(found.filter(F.size("g") > 0), label("anchors"))
-    each = found.select("k1", "k2", F.explode(F.arrays_zip("g", "start", "n", "off")).alias("f"))
+    each = found.select("k1", "k2", F.explode("g").alias("g"))
     # written, so that the join's sides are plain shuffles, of which Spark can split a frequent gram's part
-    twice = early.written(found.select(F.explode("g").alias("g")).groupBy("g").count().filter("count > 1").select("g"), label("grams"))
-    some = each.withColumn("g", F.col("f.g")).join(twice, "g", "left_semi").groupBy("k1", "k2").agg(F.collect_set("f").alias("found"))
-    body = _keyed(docs).join(some, ["k1", "k2"]).select("k1", "k2", "text", "found")
-    ctx = early.written(body.mapInArrow(_contexts(unit), "k1 long, k2 long, start long, c1 long, c2 long, g long, off long, ctx binary"), label("contexts"))
+    twice = early.written(each.groupBy("g").count().filter("count > 1").select("g"), label("grams"))
+    some = each.join(twice, "g", "left_semi").groupBy("k1", "k2").agg(F.collect_set("g").alias("grams"))
+    texts = _keyed(docs).groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.first("text").alias("text"))
+    body = texts.join(some, ["k1", "k2"]).select("k1", "k2", "copies", "text", "grams")
+    ctx = early.written(body.mapInArrow(_contexts(unit), "k1 long, k2 long, c1 long, c2 long, g long, off long, n long, start array<long>, ctx binary"), label("contexts"))
 
     places_ = scratch.written(ctx.select("k1", "k2", "start", "c1", "c2"), label("places"))
-    left = scratch.written(ctx.groupBy("g", "off", "c1", "c2").agg(F.count("*").alias("count"), F.first("ctx", ignorenulls=True).alias("ctx")), label("groups"))
+    left = scratch.written(ctx.groupBy("g", "off", "c1", "c2").agg(F.sum("n").alias("count"), F.first("ctx", ignorenulls=True).alias("ctx")), label("groups"))
     early.done()
-    ready, now, step = None, places_, 1 << ((unit.length - unit.gram).bit_length() - 1)
+    ready, splits, step = None, [], 1 << ((unit.length - unit.gram).bit_length() - 1)
     while True:
         large = left.groupBy("g").agg(F.count("*").alias("m")).filter(F.col("m") > GROUP).select("g")
         large = scratch.written(large, label("large"))
@@ -264,29 +278,37 @@ def _ranges(docs: DataFrame, unit: Unit) -> DataFrame:
             break
         split = left.join(large, "g").mapInArrow(_split(step, unit), "c1 long, c2 long, delta long, g long, off long, count long, d1 long, d2 long, ctx binary")
         split = scratch.written(split, label("split"))
-        now = now.join(split.select("c1", "c2", "delta", "d1", "d2"), ["c1", "c2"])
-        now = scratch.written(now.select("k1", "k2", (F.col("start") + F.col("delta")).alias("start"), F.col("d1").alias("c1"), F.col("d2").alias("c2")), label("places"))
-        places_ = places_.unionByName(now)
+        splits.append(split.select("c1", "c2", "delta", "d1", "d2"))
         left = split.groupBy("g", "off", F.col("d1").alias("c1"), F.col("d2").alias("c2")).agg(F.sum("count").alias("count"), F.first("ctx").alias("ctx"))
         left = scratch.written(left.select("g", "off", "c1", "c2", "count", "ctx"), label("groups"))
         step //= 2
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = ready.repartition(n, "g").sortWithinPartitions("g").select("g", "c1", "c2", "off", "count", "ctx")
     solved = dealt.mapInArrow(_solved(unit), "c1 long, c2 long, lo array<long>, hi array<long>")
-    solved = scratch.written(solved, label("solved")).select("c1", "c2", F.explode(F.arrays_zip("lo", "hi")).alias("r"))
-    spots = places_.join(solved, ["c1", "c2"]).select("k1", "k2", F.struct((F.col("start") + F.col("r.lo")).alias("a"), (F.col("start") + F.col("r.hi")).alias("b")).alias("r"))
-    out = written(spots.groupBy("k1", "k2").agg(F.collect_set("r").alias("ranges")), label("ranges"))
+    # a context is shorter than two repeats, so those in it overlap and cover a single range
+    solved = scratch.written(solved, label("solved")).select("c1", "c2", F.array_min("lo").alias("lo"), F.array_max("hi").alias("hi"))
+    covered = solved
+    for split in reversed(splits):
+        parts = covered.select(F.col("c1").alias("d1"), F.col("c2").alias("d2"), "lo", "hi")
+        whole = split.join(parts, ["d1", "d2"]).groupBy("c1", "c2").agg(F.min(F.col("delta") + F.col("lo")).alias("lo"), F.max(F.col("delta") + F.col("hi")).alias("hi"))
+        covered = solved.unionByName(scratch.written(whole, label("whole")))
+    own = F.transform("start", lambda s: F.struct((s + F.col("lo")).alias("a"), (s + F.col("hi")).alias("b")))
+    spots = places_.join(covered, ["c1", "c2"]).select("k1", "k2", own.alias("r"))
+    out = written(spots.groupBy("k1", "k2").agg(F.flatten(F.collect_list("r")).alias("ranges")), label("ranges"))
     scratch.done()
     return out
 
 
 def _all_ranges(docs: DataFrame, units: tuple[Unit, ...]) -> DataFrame:
-    """k1, k2, parts: the ranges of each unit (its number, ranges) that a document has."""
+    """k1, k2, parts: the ranges of each unit (its number, ranges) that a text has."""
     found = None
     for i, unit in reversed(list(enumerate(units))):
-        own = _ranges(docs, unit).select("k1", "k2", F.struct(F.lit(i).alias("part"), "ranges").alias("p"))
+        own = _ranges(docs, unit).select("k1", "k2", F.array(F.struct(F.lit(i).alias("part"), "ranges")).alias("parts"))
         found = own if found is None else found.unionByName(own)
-    return found.groupBy("k1", "k2").agg(F.collect_list("p").alias("parts"))
+    if len(units) == 1:
+        return found
+    # written, as many documents may have one text
+    return written(found.groupBy("k1", "k2").agg(F.flatten(F.collect_list("parts")).alias("parts")), "suffix-parts")
 
 
 def _with_parts(docs: DataFrame, units: tuple[Unit, ...], *columns: Column) -> DataFrame:
@@ -334,7 +356,7 @@ def spans_and_passages(docs: DataFrame, unit: Unit = BYTES, passages: Unit = WOR
     """``spans``, and of the text that these leave n_passages and n_passage_words: the maximal runs of repeats of the other unit, which are only reported."""
     found = written(_spans(docs, unit), "suffix-spans")
     more = _ranges(found.select("doc_id", F.col("left").alias("text")), passages)
-    keyed = found.withColumns({c: k for c, k in zip(("k1", "k2"), text_key(F.col("doc_id"), F.col("left")), strict=True)}).drop("left")
+    keyed = found.withColumns({c: k for c, k in zip(("k1", "k2"), text_key(F.col("left")), strict=True)}).drop("left")
     out = keyed.join(more, ["k1", "k2"], "left")
     # sorted ranges, of which those that touch are one passage
     sorted_ = F.sort_array(F.coalesce("ranges", F.array().cast("array<struct<a:bigint,b:bigint>>")))
